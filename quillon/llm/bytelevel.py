@@ -38,6 +38,23 @@ class Classes:
             found = self.table[points]
         return found
 
+    def of_bytes(self, data: np.ndarray) -> np.ndarray:
+        """The class of the character that each byte of UTF-8 ``data`` belongs to."""
+        kind = np.frombuffer(bytearray(data.tobytes().translate(self.ascii)), np.uint8)
+        lead = np.flatnonzero(data >= 0xC0)
+        if len(lead):
+            size = np.where(data[lead] >= 0xF0, 4, np.where(data[lead] >= 0xE0, 3, 2))
+            for width, mask in ((2, 0x1F), (3, 0x0F), (4, 0x07)):
+                at = lead[size == width]
+                if len(at):
+                    point = data[at].astype(np.int64) & mask
+                    for k in range(1, width):
+                        point = point << 6 | (data[at + k].astype(np.int64) & 0x3F)
+                    found = self.of(point)
+                    for k in range(width):
+                        kind[at + k] = found
+        return kind
+
 
 def word_starts(data: np.ndarray, doc_offsets: np.ndarray, classes: Classes) -> np.ndarray:
     """Byte offsets where pre-tokens start, ascending, for UTF-8 ``data`` cut into texts at ``doc_offsets``.
@@ -48,19 +65,7 @@ def word_starts(data: np.ndarray, doc_offsets: np.ndarray, classes: Classes) ->
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
-    kind = np.frombuffer(bytearray(data.tobytes().translate(classes.ascii)), np.uint8)
-    lead = np.flatnonzero(data >= 0xC0)
-    if len(lead):
-        size = np.where(data[lead] >= 0xF0, 4, np.where(data[lead] >= 0xE0, 3, 2))
-        for width, mask in ((2, 0x1F), (3, 0x0F), (4, 0x07)):
-            at = lead[size == width]
-            if len(at):
-                point = data[at].astype(np.int64) & mask
-                for k in range(1, width):
-                    point = point << 6 | (data[at + k].astype(np.int64) & 0x3F)
-                found = classes.of(point)
-                for k in range(width):
-                    kind[at + k] = found
+    kind = classes.of_bytes(data)
     first = np.zeros(n + 1, bool)
     first[doc_offsets] = True
     first[n] = True
@@ -204,3 +209,24 @@ def library_encoder(path: str, cache_words: int = CACHE_WORDS) -> BatchEncoder:
         return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in text]
 
     return BatchEncoder(Classes(probe), encode_words, cache_words)
+
+
+def letter_classes() -> Classes:
+    """Letters against everything else, by the Unicode property."""
+    return Classes(lambda c: LETTER if c.isalpha() else OTHER)
+
+
+def letter_runs(data: np.ndarray, offsets: np.ndarray, classes: Classes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words (runs of letters) of a run of texts: distinct words, the word at each place, and where each text's begin (n + 1)."""
+    n = len(data)
+    if not n:
+        return pa.array([], pa.large_binary()), np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+    kind = classes.of_bytes(data)
+    start = np.empty(n, bool)
+    start[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=start[1:])
+    start[offsets[:-1][np.diff(offsets) > 0]] = True
+    starts = np.flatnonzero(start)
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, n)), pa.py_buffer(data)]).dictionary_encode()
+    word = kind[starts] == LETTER
+    return coded.dictionary, coded.indices.to_numpy()[word], np.searchsorted(starts[word], offsets, side="left")

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, prefixbpe, tokenfile, warc
+from . import langid, packing, prefixbpe, tokenfile, toxicity, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,16 +24,28 @@ def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return prefixbpe.encode_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.learn(toxicity.training_rows(docs, table(spark, folder, "labels")))
+    return toxicity.score(docs, model).select("doc_id", (toxicity.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "n_passages", "worst")
+
+
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = langid.learn(langid.training_rows(docs))
+    return langid.predict(docs, model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_byte_bpe, op6_token_files, op8_warc)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op3_byte_bpe, op4_toxicity, op6_token_files, op7_language_id, op8_warc)}
 
 
 OP8_SQL = """
