@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, prefixbpe, tokenfile, topk, toxicity, warc
+from . import langid, packing, prefixbpe, quality, tokenfile, topk, toxicity, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.assess(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return prefixbpe.encode_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -50,7 +54,7 @@ def op9_top_k(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_byte_bpe, op4_toxicity, op6_token_files, op7_language_id, op8_warc, op9_top_k)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_byte_bpe, op4_toxicity, op6_token_files, op7_language_id, op8_warc, op9_top_k)}
 
 
 OP8_SQL = """
