@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, prefixbpe, quality, tokenfile, topk, toxicity, warc
+from . import langid, packing, pii, prefixbpe, quality, tokenfile, topk, toxicity, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -53,8 +53,12 @@ def op9_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(vectors, 20, F.col("vec_id") % 20 == 0)
 
 
+def op10_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.redact(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_byte_bpe, op4_toxicity, op6_token_files, op7_language_id, op8_warc, op9_top_k)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_byte_bpe, op4_toxicity, op6_token_files, op7_language_id, op8_warc, op9_top_k, op10_pii_surrogates)}
 
 
 OP8_SQL = """
