@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, pii, prefixbpe, quality, tokenfile, topk, toxicity, warc
+from . import langid, neardup, packing, pii, prefixbpe, quality, tokenfile, topk, toxicity, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (toxicity.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "n_passages", "worst")
 
 
+def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.classes(table(spark, folder, "documents"))
+
+
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -58,7 +62,7 @@ def op10_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_byte_bpe, op4_toxicity, op6_token_files, op7_language_id, op8_warc, op9_top_k, op10_pii_surrogates)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_byte_bpe, op4_toxicity, op5_near_duplicates, op6_token_files, op7_language_id, op8_warc, op9_top_k, op10_pii_surrogates)}
 
 
 OP8_SQL = """

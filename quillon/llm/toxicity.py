@@ -285,6 +285,24 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, ddl)
 
 
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, all columns kept, whose text is not predicted to be toxic. Each row is judged by its own text."""
+    spark = docs.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for row, _, n, found in _documents(m, batch.column(place)):
+                keep[row] = m.probability(m.evidence(found, n)) < 0.5
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 PASSAGES = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("p_value", pa.float64())]))
 
 
