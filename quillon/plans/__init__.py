@@ -1,4 +1,4 @@
 """Registered queries; importing this package registers all of them."""
 
-from . import advantages  # noqa: F401
+from . import advantages, measures, selections  # noqa: F401
 from .registry import ORACLES, PLANS  # noqa: F401
