@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytelevel import chunks, letter_classes, letter_runs, text_buffer
-from .shared import ship
+from .shared import materialise, ship
 
 #: Buckets of the hashed word table. It alone is broadcast: 12 bytes each, whatever the size of the corpus.
 BUCKETS = 1 << 21
@@ -142,7 +142,8 @@ def learn(labelled: DataFrame, label_col: str = "toxic") -> Model:
             bucket = np.flatnonzero(sums[k].any(axis=0))
             yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(bucket), k, np.int32)), "bucket": pa.array(bucket.astype(np.int32)), "other": pa.array(sums[k, 0, bucket]), "toxic": pa.array(sums[k, 1, bucket])})
 
-    rows = labelled.where("text is not null").select("text", F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
+    # read four times below; written once, so that the join that labels texts runs once
+    rows = materialise(labelled.where("text is not null").select("text", F.col(label_col).cast("int").alias("label")).where("label in (0, 1)"), "labelled")
     calibrate = F.pmod(F.xxhash64("text"), F.lit(4)) == 0
     counted = rows.where(~calibrate).mapInArrow(count, "kind int, bucket int, other long, toxic long").groupBy("kind", "bucket").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).toArrow()
     sums = np.zeros((2, 2, BUCKETS))
@@ -307,6 +308,9 @@ PASSAGES = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("p_v
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and toxic of the labelled documents outside the held-out fold."""
+    """text and toxic of the labelled documents outside the held-out fold; a document labelled twice counts as toxic if either says so.
+
+    The number of labels grows with the corpus, so the join is a merge at every size, never a broadcast.
+    """
     train = labels.where((fold(F.col("doc_id"), 5) != 0) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.where(fold(F.col("doc_id"), 5) != 0).select("doc_id", "text").join(train, "doc_id").select("text", "toxic")
+    return docs.where(fold(F.col("doc_id"), 5) != 0).select("doc_id", "text").join(train.hint("merge"), "doc_id").select("text", "toxic")
