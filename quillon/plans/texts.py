@@ -106,7 +106,7 @@ def score_direct(spark, folder):
 CONF = r"""conf AS (SELECT *, regexp_matches(lower(response), 'it is a|not sure') AS amb,
  coalesce(nullif(regexp_extract(lower(response), '<answer>\s*(malignant|benign|unsure)\s*</answer>', 1), ''), nullif(regexp_extract(lower(response), 'answer\s*[:=]\s*(malignant|benign|unsure)', 1), ''), 'unknown') AS given,
  TRY_CAST(coalesce(nullif(regexp_extract(lower(response), '<confidence>\s*([0-9]*\.?[0-9]+)\s*</confidence>', 1), ''), nullif(regexp_extract(lower(response), 'confidence\s*[:=]\s*([0-9]*\.?[0-9]+)', 1), '')) AS DOUBLE) AS c FROM responses),
-sure AS (SELECT *, amb OR given IN ('unsure', 'unknown') AS unsure, coalesce(least(CASE WHEN c > 1 THEN c / 100 ELSE c END, 1.0), 0.0) AS k FROM conf)"""
+sure AS (SELECT *, amb OR given IN ('unsure', 'unknown') AS unsure, CASE WHEN c IS NULL THEN 0.0 ELSE least(CASE WHEN c > 1 THEN c / 100 ELSE c END, 1.0) END AS k FROM conf)"""
 
 
 @query("score_confidence", f"""WITH {RESPONSES}, {CONF} SELECT sid, round(CASE WHEN unsure THEN 0.0 WHEN given = gold THEN 0.5 + 0.5 * k - 0.1 ELSE -2.0 * k - 0.1 END, 6) AS overall, round(CASE WHEN unsure THEN 0.0 ELSE k END, 6) AS confidence FROM sure""")
