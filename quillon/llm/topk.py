@@ -24,13 +24,18 @@ from pyspark.sql import functions as F
 
 from .shared import materialise, ship
 
-PAGE = 128  # entries of a leaf
+PAGE = 512  # entries of a leaf
 FANOUT = 16  # entries of a routing node
+TOGETHER = 512  # queries that go through a tree at once
 BLOCK_ROWS = 16384  # vectors of a block, and with it of one task's tree
 QUERY_ROWS = 32768  # queries that one task searches a block for
 MOST_PIVOTS = 1024  # the bound of what is broadcast: pivots with their radii
 
 
+#: Scores and places share 64 bits: 42 for the score with its sign, 21 for the place.
+_SHIFT, _PLACES, _NONE = 21, (1 << 21) - 1, np.iinfo(np.int64).min
+
+
 def _slack(bound):
     return bound + 1e-9 * np.abs(bound) + 1e-6
 
@@ -39,19 +44,22 @@ class MTree:
     """A paged tree over the rows of ``vectors`` with ``ids``; scores are inner products."""
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray):
+        if len(ids) > _PLACES:
+            raise ValueError("a tree holds fewer vectors than that")
         self.nodes: list[tuple] = []
         order = np.argsort(ids, kind="stable")
+        self.ids = ids[order]
         self.computed = 0
         self.draw = np.random.default_rng(len(ids))
-        self.root = self._build(vectors[order], ids[order]) if len(ids) else None
+        self.root = self._build(vectors[order], np.arange(len(ids))) if len(ids) else None
 
-    def _build(self, x: np.ndarray, ids: np.ndarray) -> tuple[int, np.ndarray, float, int]:
-        """Node number, routing object, covering radius and least id."""
+    def _build(self, x: np.ndarray, ids: np.ndarray) -> tuple[int, np.ndarray, float]:
+        """Node number, routing object and covering radius; ids are places in the order of ids."""
         if len(x) <= PAGE:
             centre = x.mean(axis=0)
             distance = np.sqrt(((x - centre) ** 2).sum(axis=1))
             self.nodes.append((True, x, ids, distance))
-            return len(self.nodes) - 1, centre, float(distance.max()), int(ids[0])
+            return len(self.nodes) - 1, centre, float(distance.max())
         centres = x[self.draw.choice(len(x), FANOUT, replace=False)]
         for _ in range(2):
             near = ((centres**2).sum(axis=1) - 2 * x @ centres.T).argmin(axis=1)
@@ -65,47 +73,63 @@ class MTree:
         radius = float(np.sqrt(((x - centre) ** 2).sum(axis=1)).max())
         routing = np.stack([c[1] for c in children])
         up = np.sqrt(((routing - centre) ** 2).sum(axis=1))
-        self.nodes.append((False, routing, np.array([c[2] for c in children]), up, [c[0] for c in children], np.array([c[3] for c in children])))
-        return len(self.nodes) - 1, centre, radius, int(ids.min())
-
-    def search(self, q: np.ndarray, k: int, own: int, least: float = -math.inf) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and ids of the k best but ``own``, best first, ties to smaller ids; scores under ``least`` may be left out."""
-        scores, ids = np.zeros(0), np.zeros(0, np.int64)
-        if self.root is None:
-            return scores, ids
-        size = float(np.sqrt(q @ q))
-        number, centre, radius, first = self.root
-        product = float(centre @ q)
-        queue = [(-_slack(product + size * radius), first, number, product)]
-        bar, last = least, None  # the k-th score so far and its id
+        self.nodes.append((False, routing, np.array([c[2] for c in children]), up, [c[0] for c in children]))
+        return len(self.nodes) - 1, centre, radius
+
+    def search(self, q: np.ndarray, k: int, own: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, score, id) of the k best vectors of each query but those with its own id, ties to smaller ids.
+
+        Queries go best first together: the queue is ordered by the best bound of any query, and a node is opened
+        with those queries only whose own bound reaches their k-th score. Scores under ``least`` may be left out.
+        """
+        n = len(q)
+        if self.root is None or not n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        size = np.sqrt((q * q).sum(axis=1))
+        top = np.full((n, k), _NONE)  # score and place in one integer, so that a larger one is a better one
+        bar = least.astype(np.float64).copy()
+        number, centre, radius = self.root
+        product = q @ centre
+        bound = _slack(product + size * radius)
+        queue = [(-bound.max(), 0, number, np.arange(n), product, bound)]
+        pushed = 0
         while queue:
-            bound, first, number, product = heapq.heappop(queue)
-            if -bound < bar:
-                break
-            if last is not None and math.floor(-bound) <= bar and first > last:
+            _, _, number, rows, product, bound = heapq.heappop(queue)
+            open_ = bound >= bar[rows]
+            if not open_.any():
                 continue
+            rows, product = rows[open_], product[open_]
             node = self.nodes[number]
             if node[0]:
-                _, x, own_ids, distance = node
-                take = np.flatnonzero(_slack(product + size * distance) >= bar)
-                found = x[take] @ q
-                self.computed += len(take)
-                keep = (found >= bar) & (own_ids[take] != own)
-                if keep.any():
-                    scores, ids = np.concatenate([scores, found[keep]]), np.concatenate([ids, own_ids[take][keep]])
-                    order = np.lexsort((ids, -scores))[:k]
-                    scores, ids = scores[order], ids[order]
-                    if len(scores) == k and scores[-1] >= bar:
-                        bar, last = scores[-1], ids[-1]
+                _, x, places, distance = node
+                # by the parent's products alone: vectors that no query needs are left out
+                take = np.flatnonzero((_slack(product[:, None] + size[rows, None] * distance) >= bar[rows, None]).any(axis=0))
+                found = np.rint(q[rows] @ x[take].T).astype(np.int64)
+                self.computed += found.size
+                keys = (found << _SHIFT) | (_PLACES - places[take])
+                keys[(found < bar[rows, None]) | (self.ids[places[take]] == own[rows, None])] = _NONE
+                better = (keys > top[rows, :1]).any(axis=1)  # the first of a row of top is its least
+                if better.any():
+                    rows = rows[better]
+                    merged = np.concatenate([top[rows], keys[better]], axis=1)
+                    best = np.partition(merged, merged.shape[1] - k, axis=1)[:, -k:]
+                    lowest = best.argmin(axis=1)
+                    best[np.arange(len(rows)), lowest], best[:, 0] = best[:, 0].copy(), best[np.arange(len(rows)), lowest]
+                    top[rows] = best
+                    full = best[:, 0] != _NONE
+                    bar[rows[full]] = np.maximum(bar[rows[full]], best[full, 0] >> _SHIFT)
             else:
-                _, routing, radii, up, children, firsts = node
-                take = np.flatnonzero(_slack(product + size * (up + radii)) >= bar)  # by the parent's product alone
-                found = routing[take] @ q
-                self.computed += len(take)
-                bounds = _slack(found + size * radii[take])
-                for j in np.flatnonzero(bounds >= bar):
-                    heapq.heappush(queue, (-bounds[j], int(firsts[take[j]]), children[take[j]], float(found[j])))
-        return scores, ids
+                _, routing, radii, up, children = node
+                reach = _slack(product[:, None] + size[rows, None] * (up + radii)) >= bar[rows, None]  # again without a new product
+                for j in np.flatnonzero(reach.any(axis=0)).tolist():
+                    own_rows = rows[reach[:, j]]
+                    found = q[own_rows] @ routing[j]
+                    self.computed += len(found)
+                    own_bound = _slack(found + size[own_rows] * radii[j])
+                    pushed += 1
+                    heapq.heappush(queue, (-own_bound.max(), pushed, children[j], own_rows, found, own_bound))
+        row, at = np.nonzero(top != _NONE)
+        return row, top[row, at] >> _SHIFT, self.ids[_PLACES - (top[row, at] & _PLACES)]
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -136,8 +160,8 @@ def top_k(vectors: DataFrame, k: int, is_query: Column) -> DataFrame:
     ship(spark)
     width, rows, most = vectors.agg(F.max(F.size("v")), F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
     width = width or 0
-    if (most or 0) >= 2.0**53:
-        raise ValueError("inner products would pass 2^53 and not be exact")
+    if (most or 0) >= 2.0**41:
+        raise ValueError("inner products would pass 41 bits, which is what ranking by one integer holds")
     padded = vectors.select("vec_id", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("v"))).alias("v"))
     many = max(1, min(MOST_PIVOTS, math.ceil(rows / BLOCK_ROWS) * 2))
     pivots = _matrix(padded.orderBy(F.xxhash64("v"), "vec_id").limit(many).toArrow()["v"], width)
@@ -184,14 +208,10 @@ def top_k(vectors: DataFrame, k: int, is_query: Column) -> DataFrame:
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         tree = MTree(_matrix(left["v"], width), left["vec_id"].to_numpy())
         q = _matrix(right["q"], width)
-        row, ids, scores = [], [], []
-        for i, (own, least) in enumerate(zip(right["query_id"].to_pylist(), right["least"].to_pylist(), strict=True)):
-            s, v = tree.search(q[i], k, own, least)
-            row.append(np.full(len(s), i))
-            ids.append(v)
-            scores.append(s)
-        row = pa.array(np.concatenate([*row, np.zeros(0, np.int64)]).astype(np.int64))
-        return pa.table([right["query_id"].take(row), right["q"].take(row), pa.array(np.concatenate([*ids, np.zeros(0, np.int64)]).astype(np.int64)), pa.array(np.concatenate([*scores, np.zeros(0)]).astype(np.int64))], ["query_id", "q", "vec_id", "score"])
+        own, least = right["query_id"].to_numpy(), right["least"].to_numpy()
+        found = [(begin + r, v, s) for begin in range(0, len(q), TOGETHER) for r, s, v in [tree.search(q[begin : begin + TOGETHER], k, own[begin : begin + TOGETHER], least[begin : begin + TOGETHER])]]
+        row, ids, scores = (pa.array(np.concatenate([*(f[j] for f in found), np.zeros(0, np.int64)]), pa.int64()) for j in range(3))
+        return pa.table([right["query_id"].take(row), right["q"].take(row), ids, scores], ["query_id", "q", "vec_id", "score"])
 
     def searched(asked: DataFrame, home: bool) -> DataFrame:
         to = asked.mapInArrow(route(home), routed_ddl).withColumn("salt", F.explode(F.sequence(F.lit(0), salts[F.col("pivot")] - 1))).withColumn("part", F.pmod(F.xxhash64("query_id", "q"), F.lit(parts)).cast("int"))
