@@ -12,6 +12,7 @@ significant are added up, and a one-variable logistic curve over labelled docume
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections.abc import Iterator
@@ -20,13 +21,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytelevel import chunks, letter_classes, letter_runs, text_buffer
 from .shared import materialise, ship
 
-#: Buckets of the hashed word table. It alone is broadcast: 12 bytes each, whatever the size of the corpus.
+#: Buckets of the hashed word table. It alone is broadcast: 6 bytes each, compressed, whatever the size of the corpus.
 BUCKETS = 1 << 21
 FAMILY = 4  # letters of a word that name its family
 PRIOR = 0.5  # the Dirichlet prior of each word and family, in documents
@@ -71,6 +73,14 @@ class Model:
     slope: float = 1.0
     intercept: float = 0.0
 
+    def packed(self) -> tuple[str, list[bytes]]:
+        """The tables for a broadcast: compressed half floats under a name that is their digest."""
+        parts = [zstandard.ZstdCompressor(level=3).compress(t.astype(np.float16).tobytes()) for t in (self.family, self.word, self.rest)]
+        return hashlib.sha256(b"".join(parts)).hexdigest(), parts
+
+    def scalars(self) -> tuple[float, float, float, float]:
+        return self.rate, self.k, self.slope, self.intercept
+
     def scores(self, words: pa.Array) -> np.ndarray:
         own, family = buckets_of(words)
         return np.clip(self.word[own] + self.rest[own] * self.family[family], -LIMIT, LIMIT) - COST
@@ -117,6 +127,18 @@ class Model:
         return 1 / (1 + math.exp(-min(700.0, max(-700.0, self.slope * evidence + self.intercept))))
 
 
+_tables: dict[str, tuple[np.ndarray, ...]] = {}
+
+
+def unpacked(packed: tuple[str, list[bytes]], scalars: tuple[float, float, float, float] = (1.0, 1.0, 1.0, 0.0)) -> Model:
+    """The model on a worker, which keeps the tables of the last one."""
+    name, parts = packed
+    if name not in _tables:
+        _tables.clear()
+        _tables[name] = tuple(np.frombuffer(zstandard.ZstdDecompressor().decompress(p), np.float16).astype(np.float32) for p in parts)
+    return Model(*_tables[name], *scalars)
+
+
 def learn(labelled: DataFrame, label_col: str = "toxic") -> Model:
     """Fit to documents with text and a 0/1 label. Without one of the two labels nothing is toxic.
 
@@ -170,17 +192,17 @@ def learn(labelled: DataFrame, label_col: str = "toxic") -> Model:
 
 def _calibrate(rows: DataFrame, model: Model) -> None:
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model.packed())
     edges = np.linspace(-LIMIT - COST, LIMIT - COST, BINS + 1)
 
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(BINS, np.int64)
+        sums, m = np.zeros(BINS, np.int64), unpacked(shared.value)
         for batch in batches:
             other = batch.column(1).to_numpy(zero_copy_only=False) == 0
             for low, high, words, index, at in _words(batch.column(0)):
                 many = np.bincount(index[np.repeat(other[low:high], np.diff(at))], minlength=len(words))
                 if many.any():
-                    sums += np.histogram(shared.value.scores(words), edges, weights=many)[0].astype(np.int64)
+                    sums += np.histogram(m.scores(words), edges, weights=many)[0].astype(np.int64)
         yield pa.RecordBatch.from_pydict({"bin": pa.array(np.arange(BINS, dtype=np.int32)), "n": pa.array(sums)})
 
     found = rows.mapInArrow(histogram, "bin int, n long").groupBy("bin").agg(F.sum("n")).collect()
@@ -197,34 +219,36 @@ def _calibrate(rows: DataFrame, model: Model) -> None:
             value = (weights * np.exp(np.minimum(rate * middle, 600))).sum()
             low, high = (low, rate) if value > 1 else (rate, high)
     model.rate = min(low, 3.0)
-    shared = spark.sparkContext.broadcast(model)
+    scalars = model.scalars()
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs = total = 0.0
+        m = unpacked(shared.value, scalars)
         for batch in batches:
             labels = batch.column(1).to_numpy(zero_copy_only=False)
-            for low, _, n, found in _documents(shared.value, batch.column(0)):
+            for low, _, n, found in _documents(m, batch.column(0)):
                 if labels[low] == 0:
                     docs += 1
-                    total += max(n, 1) * math.exp(-shared.value.rate * max((s for _, _, s in found), default=0.0))
+                    total += max(n, 1) * math.exp(-m.rate * max((s for _, _, s in found), default=0.0))
         yield pa.RecordBatch.from_pydict({"docs": pa.array([docs]), "total": pa.array([total])})
 
     docs, total = rows.mapInArrow(tails, "docs double, total double").agg(F.sum("docs"), F.sum("total")).first()
     model.k = max(1e-6, docs / total) if total else 1.0
-    shared = spark.sparkContext.broadcast(model)
+    fitted = model.scalars()
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, BINS), np.int64)
+        sums, m = np.zeros((2, BINS), np.int64), unpacked(shared.value, fitted)
         for batch in batches:
             labels = batch.column(1).to_numpy(zero_copy_only=False)
-            for low, _, n, found in _documents(shared.value, batch.column(0)):
-                sums[labels[low], _bin(shared.value.evidence(found, n))] += 1
+            for low, _, n, found in _documents(m, batch.column(0)):
+                sums[labels[low], _bin(m.evidence(found, n))] += 1
         yield pa.RecordBatch.from_pydict({"bin": pa.array(np.arange(BINS, dtype=np.int32)), "other": pa.array(sums[0]), "toxic": pa.array(sums[1])})
 
     table = np.zeros((2, BINS))
     for b, other, toxic in rows.mapInArrow(evidence, "bin int, other long, toxic long").groupBy("bin").agg(F.sum("other"), F.sum("toxic")).collect():
         table[:, b] = other, toxic
     model.slope, model.intercept = _logistic(_centres(), table)
+    shared.unpersist()
 
 
 def _bin(x: float) -> int:
@@ -269,10 +293,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared, scalars = spark.sparkContext.broadcast(model.packed()), model.scalars()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = unpacked(shared.value, scalars)
         for batch in batches:
             out = ([], [], [], [], [])
             for _, _, n, found in _documents(m, batch.column(1)):
@@ -290,11 +314,11 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs, all columns kept, whose text is not predicted to be toxic. Each row is judged by its own text."""
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared, scalars = spark.sparkContext.broadcast(model.packed()), model.scalars()
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = unpacked(shared.value, scalars)
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
             for row, _, n, found in _documents(m, batch.column(place)):
