@@ -11,9 +11,10 @@ the classes, so links are sought in three passes, each between classes that are
 
 1. each node against the least node of its buckets (a count of candidates linear in the nodes);
 2. in each bucket that still holds several classes, a maximum spanning forest by the registers' agreement;
-3. in what is left, every pair whose registers agree far enough.
+3. in what is left, every pair whose registers agree far enough, each compared exactly where its bucket is held,
+   and only those that join two classes come out.
 
-Buckets of the last two passes are dealt to tasks in bounded blocks. Classes are the connected components of
+Buckets of the last two passes are dealt to tasks in bounded blocks; buckets of the same nodes are looked at once. Classes are the connected components of
 the links, by label propagation with pointer jumping; no link or component reaches the driver.
 """
 
@@ -202,45 +203,96 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _blocks(active: DataFrame, forest: bool) -> DataFrame:
-    """Pairs (a, b) between classes of one bucket whose registers agree far enough; with ``forest`` only a maximum spanning forest of each block."""
-
-    def compare(table: pa.Table) -> pa.Table:
-        part, node, label = (table[c].to_numpy() for c in ("side", "node", "label"))
-        registers = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint32).reshape(-1, REGISTERS)
-        one = np.flatnonzero(part != 2)
-        two = np.flatnonzero(part == 2) if (part == 2).any() else one
-        found: list[tuple[float, int, int]] = []
-        for i in one:
-            other = two[label[two] != label[i]]
-            if two is one:
-                other = other[node[other] > node[i]]
-            if len(other):
-                agree = (registers[other] == registers[i]).mean(axis=1)
-                found += [(s, i, j) for s, j in zip(agree[agree >= LEAST_AGREEMENT].tolist(), other[agree >= LEAST_AGREEMENT].tolist(), strict=True)]
-        if forest:
-            root: dict[int, int] = {}
-
-            def find(x: int) -> int:
-                while root.setdefault(x, x) != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            kept = []
-            for s, i, j in sorted(found, key=lambda x: (-x[0], node[x[1]], node[x[2]])):
-                x, y = find(int(label[i])), find(int(label[j]))
-                if x != y:
-                    root[x] = y
-                    kept.append((s, i, j))
-            found = kept
-        a, b = node[[i for _, i, _ in found]] if found else np.zeros(0, np.int64), node[[j for _, _, j in found]] if found else np.zeros(0, np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
+def _pairs(table: pa.Table) -> Iterator[tuple[int, int]]:
+    """Row pairs of a block whose classes differ and whose registers agree far enough, those that agree most first."""
+    part, node, label = (table[c].to_numpy() for c in ("side", "node", "label"))
+    registers = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint32).reshape(-1, REGISTERS)
+    one = np.flatnonzero(part != 2)
+    two = np.flatnonzero(part == 2) if (part == 2).any() else one
+    firsts, seconds, agreements = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
+    for i in one.tolist():
+        other = two[(label[two] != label[i]) & ((node[two] > node[i]) if two is one else True)]
+        if len(other):
+            agree = (registers[other] == registers[i]).mean(axis=1, dtype=np.float32)
+            near = agree >= LEAST_AGREEMENT
+            firsts.append(np.full(near.sum(), i, np.int32))
+            seconds.append(other[near].astype(np.int32))
+            agreements.append(agree[near])
+    i, j, agree = (np.concatenate(x) for x in (firsts, seconds, agreements))
+    order = np.lexsort((node[j], node[i], -agree))
+    for begin in range(0, len(order), 1 << 16):
+        yield from zip(i[order[begin : begin + (1 << 16)]].tolist(), j[order[begin : begin + (1 << 16)]].tolist(), strict=True)
+
+
+def _spanning(table: pa.Table, accepts) -> pa.Table:
+    """Pairs (a, b) that join classes of a block that are still apart, among those that ``accepts`` takes: less than one a class."""
+    node, label = table["node"].to_numpy(), table["label"].to_pylist()
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    kept = []
+    for i, j in _pairs(table):
+        x, y = find(label[i]), find(label[j])
+        if x != y and accepts(i, j):
+            root[x] = y
+            kept.append((i, j))
+    a, b = (node[[pair[k] for pair in kept]] if kept else np.zeros(0, np.int64) for k in (0, 1))
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _likely(table: pa.Table) -> pa.Table:
+    return _spanning(table, lambda i, j: True)
+
+
+def _exact(table: pa.Table) -> pa.Table:
+    sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+
+    def similar(i: int, j: int) -> bool:
+        a, b = sets[i], sets[j]
+        if len(a) > len(b):
+            a, b = b, a
+        if len(a) < SIMILARITY * len(b):
+            return False
+        both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+        return both >= SIMILARITY * (len(a) + len(b) - both) - 1e-9
+
+    return _spanning(table, similar)
+
+
+def _blocks(active: DataFrame, compare) -> DataFrame:
+    """What ``compare`` finds in each bucket; a bucket of more than BLOCK nodes is compared in pairs of parts."""
     sized = active.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     dealt = active.join(sized, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     keyed = dealt.withColumn("x", F.least("own", "with")).withColumn("y", F.greatest("own", "with")).withColumn("side", F.when(F.col("own") == F.col("with"), 0).when(F.col("own") < F.col("with"), 1).otherwise(2))
-    return keyed.select("bucket", "x", "y", "side", "node", "label", "registers").groupBy("bucket", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+    return keyed.drop("parts", "own", "with").groupBy("bucket", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _shingle_sets(texts: DataFrame) -> DataFrame:
+    """node and its distinct shingles, sorted, as 8 bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffer(pc.utf8_lower(batch.column(1)))
+            for low, high in chunks(offsets, CHUNK_BYTES):
+                doc, found, _ = shingles(*word_hashes(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]))
+                cut = np.searchsorted(doc, np.arange(high - low + 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array([found[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], ["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles binary")
+
+
+def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket, node and label of the buckets that hold several classes; of buckets with the same nodes only one."""
+    labelled = shared.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    mixed = F.xxhash64("node")
+    held = labelled.groupBy("bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("_n"), F.bit_xor(mixed).alias("_x"), F.min(mixed).alias("_min"), F.max(mixed).alias("_max"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("_y"))
+    one = held.where("_low < _high").groupBy("_n", "_x", "_y", "_min", "_max").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return labelled.join(one, "bucket", "left_semi")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -262,17 +314,15 @@ def classes(docs: DataFrame) -> DataFrame:
         stars = shared.groupBy("node").agg(F.min("lead").alias("a")).where("a < node").select("a", F.col("node").alias("b"))
         links = materialise(_verified(stars, texts), "links")
         labels = components(links)
-        for forest in (True, False):
-            labelled = shared.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-            apart = labelled.groupBy("bucket").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high").select("bucket")
-            active = materialise(labelled.join(apart, "bucket", "left_semi").join(nodes.select("node", "registers"), "node"), "active")
-            if active.isEmpty():
-                break
-            more = materialise(_verified(materialise(_blocks(active, forest), "pairs"), texts), "links")
-            if more.isEmpty():
-                continue
-            links = links.union(more)
-            labels = components(links)
+        for compare in (_likely, _exact):
+            active = _apart(shared, labels).join(nodes.select("node", "registers"), "node")
+            if compare is _exact:
+                active = active.join(_shingle_sets(texts), "node")
+            found = materialise(_blocks(active, compare), "pairs")
+            more = materialise(_verified(found, texts), "links") if compare is _likely else found
+            if not more.isEmpty():
+                links = links.union(more)
+                labels = components(links)
     known = content if labels is None else content.join(labels, "node", "left").select("content", F.coalesce("label", "node").alias("node"))
     found = rows.select("doc_id", "content").join(known, "content").groupBy("doc_id").agg(F.min("node").alias("class_id"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
