@@ -2,10 +2,7 @@ import random
 import re
 
 import corpus_pipeline
-import numpy as np
-from pyspark.sql import functions as F
 
-from quillon.llm import neardup, pii, quality, toxicity
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 

@@ -1,7 +1,6 @@
 import gzip
 import hashlib
 import io
-import random
 
 import numpy as np
 import pytest
@@ -81,4 +80,3 @@ def test_bounds_save_products():
     tree.computed = 0
     tree.search(x[:1], 20, np.array([0]), np.array([-np.inf]))
     assert tree.computed < 4000
-    random.seed(0)
