@@ -37,7 +37,7 @@ GIVEN = {
 HONORIFICS = {"m": ["Mr", "Mister", "Sir", "Herr", "Monsieur", "Señor", "Sr", "господин"], "f": ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа"], "": ["Dr", "Prof"]}
 CREDENTIALS = ["password", "passwd", "pwd", "token", "secret", "api_key", "api-key", "apikey", "access_key", "private_key", "auth_key"]
 
-_NAME = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}+(?:[-'’]\p{Lu}\p{Ll}+)*"
+_NAME = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}+(?:[-'’]\p{Lu}\p{Ll}+){0,4}"
 _ALL_GIVEN = "|".join(n for names in GIVEN.values() for n in names)
 _ALL_HONORIFICS = "|".join(h for x in HONORIFICS.values() for h in x)
 
@@ -45,7 +45,7 @@ _ALL_HONORIFICS = "|".join(h for x in HONORIFICS.values() for h in x)
 PATTERNS = {
     "credential": r"(?<=(?i:\b(?:" + "|".join(CREDENTIALS) + r")[\x20\t]{0,3}[=:][\x20\t]{0,3}[\"']{0,1}))[A-Za-z0-9_+/\-]{6,}=*",
     "key": r"\bAKIA[0-9A-Z]{16}\b",
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]*[A-Za-z0-9_%+\-]@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]*[A-Za-z0-9_%+\-]@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?){0,30}\.[A-Za-z]{2,}(?![A-Za-z0-9])",
     "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
     "ssn": r"(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z\-])",
     "card": r"(?<![0-9A-Za-z])[3-6][0-9]{3}(?:[ \-]?[0-9]{4}){2}[ \-]?[0-9]{1,4}(?![0-9A-Za-z])",

@@ -229,7 +229,7 @@ PII = [
 
 
 def test_surrogates(spark):
-    clean = ["Clean text 2020-10-10, 12,345 or $100 and 1.5; a@b", "M.!! HERE IS 12 # %", "", None, "x" * 50000]
+    clean = ["Clean text 2020-10-10, 12,345 or $100 and 1.5; a@b", "M.!! HERE IS 12 # %", "", None, "x" * 50000, "a." * 20000 + " 1 @", "-" * 20000 + "@" + "b-" * 20000]
     d = docs(spark, [(i, t, None) for i, t in enumerate(PII + clean)])
     got = {r["doc_id"]: r for r in pii.redact(d).collect()}
     for i, t in enumerate(clean):
