@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytelevel import chunks, text_buffer
-from .shared import ship
+from .shared import ship, smallest, worker_state
 from .toxicity import fold
 
 GRAM = 3  # bytes of an n-gram
@@ -28,7 +28,7 @@ PRIOR = 0.5  # added to each bucket's count
 SHARPNESS = 24.0  # margins are mean log-odds per n-gram times this
 AMBIGUOUS = 0.2  # least gap between the two best probabilities
 #: Classifier weights of the decoding are measured on at most this many training documents, those with the
-#: smallest hash of their id. The n-gram counts themselves come from all training documents.
+#: smallest hash of their text. The n-gram counts themselves come from all training documents.
 WEIGHT_DOCS = 4000
 UNKNOWN = "und"
 _MULTIPLY = np.array([2654435761, 2246822519, 3266489917], np.uint32)
@@ -132,7 +132,7 @@ def learn(labelled: DataFrame) -> Model | None:
         else:
             odds[b] = 1.0
     model = Model(languages, code, odds, np.full(code.shape, 1 / code.shape[1]))
-    sample = rows.orderBy(F.xxhash64("text"), "text").limit(WEIGHT_DOCS).toArrow().combine_chunks()
+    sample = smallest(rows, F.xxhash64("text"), WEIGHT_DOCS).toArrow().combine_chunks()
     truth = np.array([place[x] for x in sample["lang"].to_pylist()])
     right, seen = np.ones(code.shape), np.full((len(languages), 1), 2.0)
     for batch in sample.to_batches():
@@ -157,6 +157,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("languages", dict)
         m = shared.value
         for batch in batches:
             n = batch.num_rows

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
-import zlib
+from collections.abc import Callable
 from pathlib import Path
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 _scratch: dict[str, str] = {}
@@ -74,6 +78,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def crc32_text(value: int) -> int:
-    """crc32 of an integer written as decimal text, as SQL's crc32(cast(x as string))."""
-    return zlib.crc32(str(value).encode())
+_held: tuple[str, Any] | None = None
+
+
+def worker_state(key: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between tasks, of one operator at a time: another key drops what was held.
+
+    Workers outlive stages; without this a vocabulary's cache would stay beside the arrays of the next operator.
+    """
+    global _held
+    if _held is None or _held[0] != key:
+        _held = None
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _held = (key, make())
+    return _held[1]
+
+
+def smallest(df: DataFrame, order: Column, n: int) -> DataFrame:
+    """n rows with the least ``order``, a hash. Only hashes are sorted; wide rows are then filtered by the n-th one."""
+    hashes = df.select(order.alias("h")).orderBy("h").limit(n).agg(F.max("h")).first()[0]  # one number
+    return df.where(order <= F.lit(hashes)).limit(n) if hashes is not None else df.limit(0)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .bytelevel import chunks, text_buffer
 from .packing import encoder
-from .shared import scratch, ship
+from .shared import scratch, ship, smallest
 
 MAGIC = b"QUILTOK1"
 END_ID = 2
@@ -121,7 +121,7 @@ class ShardReader:
 
 def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
     """A dictionary from the bounded sample; empty (no dictionary) where there is too little to train on."""
-    sample = docs.where("text is not null").select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select(F.substring("text", 1, 4 * SAMPLE_IDS).alias("text")).toArrow()
+    sample = smallest(docs.where("text is not null").select("doc_id", "text"), F.xxhash64("doc_id"), SAMPLE_DOCS).select(F.substring("text", 1, 4 * SAMPLE_IDS).alias("text")).toArrow()
     data, offsets = text_buffer(sample["text"])
     samples = []
     for low, high in chunks(offsets):
