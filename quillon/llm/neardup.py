@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from .bytelevel import chunks, text_buffer
-from .shared import materialise, ship
+from .shared import materialise, ship, worker_state
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -142,10 +142,12 @@ def sketch(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("near duplicates", dict)
         for batch in batches:
-            data, offsets = text_buffer(pc.utf8_lower(batch.column(1)))
-            for low, high in chunks(offsets, CHUNK_BYTES):
-                words, at = word_hashes(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+            sizes = np.concatenate([np.zeros(1, np.int64), np.cumsum(pc.binary_length(batch.column(1)).to_numpy())])
+            for low, high in chunks(sizes, CHUNK_BYTES):
+                data, offsets = text_buffer(pc.utf8_lower(batch.column(1).slice(low, high - low)))
+                words, at = word_hashes(data, offsets)
                 doc, shingle, count = shingles(words, at)
                 held = signatures(doc, shingle, count, high - low)
                 content = [hashlib.blake2b(words[at[i] : at[i + 1]], digest_size=16).digest() for i in range(high - low)]
@@ -163,6 +165,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose sets of shingles are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("near duplicates", dict)
         for batch in batches:
             data, offsets = text_buffer(pa.concat_arrays([pc.utf8_lower(batch.column(2)), pc.utf8_lower(batch.column(3))]))
             n, keep = batch.num_rows, np.zeros(batch.num_rows, bool)

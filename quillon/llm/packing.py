@@ -23,19 +23,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytelevel import chunks, library_encoder, text_buffer
-from .shared import materialise, ship
+from .shared import materialise, ship, worker_state
 
 CAPACITY = 2048
 END_ID = 0
 
-_encoders: dict[str, object] = {}
-
 
 def encoder(path: str):
-    """The worker's encoder for a vocabulary file; its word cache lives as long as the worker."""
-    if path not in _encoders:
-        _encoders[path] = library_encoder(path)
-    return _encoders[path]
+    """The worker's encoder for a vocabulary file; its word cache lives until the worker turns to another operator."""
+    return worker_state(f"library {path}", lambda: library_encoder(path))
 
 
 @dataclass

@@ -21,9 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bytelevel import LETTER, NUMBER, OTHER, SPACE, BatchEncoder, Classes, chunks, text_buffer
-from .shared import ship
-
-_codecs: dict[str, Codec] = {}
+from .shared import ship, worker_state
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -176,9 +174,7 @@ class Codec:
 
 
 def codec(path: str) -> Codec:
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    return worker_state(f"ranks {path}", lambda: Codec(path))
 
 
 def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:

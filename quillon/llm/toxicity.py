@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytelevel import chunks, letter_classes, letter_runs, text_buffer
-from .shared import materialise, ship
+from .shared import materialise, ship, worker_state
 
 #: Buckets of the hashed word table. It alone is broadcast: 6 bytes each, compressed, whatever the size of the corpus.
 BUCKETS = 1 << 21
@@ -127,16 +127,11 @@ class Model:
         return 1 / (1 + math.exp(-min(700.0, max(-700.0, self.slope * evidence + self.intercept))))
 
 
-_tables: dict[str, tuple[np.ndarray, ...]] = {}
-
-
 def unpacked(packed: tuple[str, list[bytes]], scalars: tuple[float, float, float, float] = (1.0, 1.0, 1.0, 0.0)) -> Model:
     """The model on a worker, which keeps the tables of the last one."""
     name, parts = packed
-    if name not in _tables:
-        _tables.clear()
-        _tables[name] = tuple(np.frombuffer(zstandard.ZstdDecompressor().decompress(p), np.float16).astype(np.float32) for p in parts)
-    return Model(*_tables[name], *scalars)
+    tables = worker_state(f"toxicity {name}", lambda: [np.frombuffer(zstandard.ZstdDecompressor().decompress(p), np.float16).astype(np.float32) for p in parts])
+    return Model(*tables, *scalars)
 
 
 def learn(labelled: DataFrame, label_col: str = "toxic") -> Model:
@@ -149,7 +144,8 @@ def learn(labelled: DataFrame, label_col: str = "toxic") -> Model:
     ship(spark)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, 2, BUCKETS), np.int64)  # word or family, label, bucket
+        worker_state("toxicity", dict)
+        sums = np.zeros((2, 2, BUCKETS), np.int32)  # word or family, label, bucket; documents of one task
         for batch in batches:
             label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             for low, high, words, index, at in _words(batch.column(0)):
@@ -162,7 +158,7 @@ def learn(labelled: DataFrame, label_col: str = "toxic") -> Model:
                         np.add.at(sums[k, y], pair[own] % BUCKETS, 1)
         for k in (0, 1):
             bucket = np.flatnonzero(sums[k].any(axis=0))
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(bucket), k, np.int32)), "bucket": pa.array(bucket.astype(np.int32)), "other": pa.array(sums[k, 0, bucket]), "toxic": pa.array(sums[k, 1, bucket])})
+            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(bucket), k, np.int32)), "bucket": pa.array(bucket.astype(np.int32)), "other": pa.array(sums[k, 0, bucket].astype(np.int64)), "toxic": pa.array(sums[k, 1, bucket].astype(np.int64))})
 
     # read four times below; written once, so that the join that labels texts runs once
     rows = materialise(labelled.where("text is not null").select("text", F.col(label_col).cast("int").alias("label")).where("label in (0, 1)"), "labelled")
