@@ -20,6 +20,22 @@ def disambiguated(left: DataFrame, right: DataFrame, key: str, row: str, matches
     return picked.select(*left.columns, "status", *[F.when(F.col("status") == "matched", F.col(c)).alias(c) for c in mark])
 
 
+def disambiguated_by_value(left: DataFrame, right: DataFrame, key: str, mark: str, want: str) -> DataFrame:
+    """``disambiguated`` where a candidate matches if its ``mark`` is the row's ``want``, without pairing rows with candidates.
+
+    right is aggregated by key, and by key and mark, before it is joined, so a key of many rows on both sides stays linear.
+    Candidates without a first column don't count.
+    """
+    own = [c for c in right.columns if c != key]
+    known = right.where(F.col(own[0]).isNotNull())
+    each = known.groupBy(key).agg(F.count("*").alias("_n"), F.min(F.struct(*own)).alias("_only"))
+    hits = known.groupBy(key, F.col(mark).alias("_mark")).agg(F.count("*").alias("_hits"), F.min(F.struct(*own)).alias("_hit")).withColumnRenamed(key, "_key")
+    joined = left.join(each, key, "left").join(hits, (F.col(key) == F.col("_key")) & (F.col(want) == F.col("_mark")), "left")
+    status = F.when(F.col("_n").isNull(), "missing").when((F.col("_n") == 1) | (F.col("_hits") == 1), "matched").otherwise("ambiguous")
+    picked = joined.withColumn("status", status).withColumn("_one", F.when(F.col("status") == "matched", F.coalesce("_hit", "_only")))
+    return picked.select(*left.columns, "status", *[F.col("_one")[c].alias(c) for c in own])
+
+
 def matched_in_order(left: DataFrame, right: DataFrame, key: str, left_order: str, right_order: str) -> DataFrame:
     """The n-th row of a key on one side with the n-th on the other (J-06): what greedy consumption gives when a match is an equal key."""
     a = left.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(left_order)))
