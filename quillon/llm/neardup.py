@@ -6,6 +6,10 @@ texts agree in a register with their probability Jaccard similarity. A text stop
 come later than all its registers hold. Registers are banded, texts that share a band are candidates, and a
 link is kept only if the exact Jaccard similarity of the two sets of shingles is at least 0.8.
 
+A passage that one text repeats lowers the probability Jaccard similarity and not that of the sets. A text with
+repeated shingles is therefore sketched a second time with all weights 1, where registers agree with the similarity
+that is verified. It is banded by both sketches; agreement is counted on the second. For other texts both are the same.
+
 Equal texts are one node from the start. Within a bucket of thousands, comparing all pairs is not needed to know
 the classes, so links are sought in three passes, each between classes that are still apart:
 
@@ -94,7 +98,7 @@ def shingles(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def signatures(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, texts: int) -> np.ndarray:
-    """ProbMinHash registers (texts x REGISTERS): the shingle that arrives first in each; 0 for a text without shingles."""
+    """ProbMinHash registers (texts x REGISTERS): the shingle that arrives first in each; 0 for a text without shingles. Counts of 1 give those of the sets."""
     rate = 1 + np.log(count)
     total = np.bincount(doc, rate, texts)
     has = total > 0
@@ -138,7 +142,7 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, content (16-byte digest of the words), bands and registers (low 32 bits) of every text that isn't null."""
+    """doc_id, content (16-byte digest of the words), bands and registers (low 32 bits, of the set) of every text that isn't null."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,11 +153,17 @@ def sketch(docs: DataFrame) -> DataFrame:
                 data, offsets = text_buffer(pc.utf8_lower(batch.column(1).slice(low, high - low)))
                 words, at = word_hashes(data, offsets)
                 doc, shingle, count = shingles(words, at)
-                held = signatures(doc, shingle, count, high - low)
+                held = signatures(doc, shingle, np.ones(len(count)), high - low)
                 content = [hashlib.blake2b(words[at[i] : at[i + 1]], digest_size=16).digest() for i in range(high - low)]
-                keys = band_keys(held)
+                found = list(band_keys(held))
+                repeats = np.bincount(doc, count > 1, high - low) > 0
+                if repeats.any():
+                    own = repeats[doc]
+                    weighted = signatures((np.cumsum(repeats) - 1)[doc[own]], shingle[own], count[own], int(repeats.sum()))
+                    for i, keys in zip(np.flatnonzero(repeats).tolist(), band_keys(weighted), strict=True):
+                        found[i] = np.union1d(found[i], keys)
                 empty = np.diff(at) == 0
-                bands = pa.array([None if empty[i] else keys[i] for i in range(high - low)], pa.list_(pa.int64()))
+                bands = pa.array([None if empty[i] else found[i] for i in range(high - low)], pa.list_(pa.int64()))
                 registers = pa.array([r.tobytes() for r in held.astype(np.uint32)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(content, pa.binary()), bands, registers], ["doc_id", "content", "bands", "registers"])
 

@@ -214,6 +214,17 @@ def test_large_groups_link(spark):
     assert all(got[i] == 0 for i in range(300)) and all(got[i] == i for i in range(1000, 1060))
 
 
+def test_repeated_passages_link(spark):
+    """A text that repeats a passage has the same set of shingles, nearly, as one that holds it once."""
+    random.seed(10)
+    rows = []
+    for i, (body, footer, times) in enumerate([(60, 20, 20), (100, 30, 30), (100, 30, 10)] * 20):
+        words = [f"r{i}-{k}" for k in range(body + footer)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:body] + words[body:] * times))]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs(spark, [(i, t, None) for i, t in rows])).collect()}
+    assert got == brute_classes(rows) and set(got.values()) == set(range(0, 120, 2))
+
+
 def test_signatures_estimate_similarity():
     draw = np.random.default_rng(3)
     a = draw.integers(1, 2**63, 300, dtype=np.uint64)
