@@ -8,6 +8,7 @@ the encoder sees each distinct word once per batch; a bounded cache keeps words
 from __future__ import annotations
 
 import codecs
+import re
 from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -111,11 +112,26 @@ class Encoded:
 
 
 class BatchEncoder:
-    """Encodes Arrow string arrays. ``encode_word`` maps a pre-token's bytes to its ids as little-endian uint32 bytes."""
+    """Encodes Arrow string arrays. ``encode_word`` maps a pre-token's bytes to its ids as little-endian uint32 bytes.
 
-    def __init__(self, classes: Classes, encode_words: Callable[[list[bytes]], list[bytes]], cache_words: int = CACHE_WORDS):
+    ``added`` has strings that are one id wherever a text holds them; what is between them is encoded as texts of their own.
+    """
+
+    def __init__(self, classes: Classes, encode_words: Callable[[list[bytes]], list[bytes]], cache_words: int = CACHE_WORDS, added: dict[bytes, int] | None = None):
         self.classes, self.encode_words, self.cache_words = classes, encode_words, cache_words
-        self.cache: dict[bytes, bytes] = {}
+        self.cache: dict[bytes, bytes] = {k: array("I", [v]).tobytes() for k, v in (added or {}).items()}
+        self.added = re.compile(b"|".join(re.escape(k) for k in sorted(added, key=len, reverse=True))) if added else None
+
+    def spans(self, data: np.ndarray, doc_offsets: np.ndarray) -> np.ndarray:
+        """Begin and end of the added strings, leftmost and longest first; none reaches from one text into the next."""
+        out, at, raw = [], 0, data.tobytes() if self.added else b""
+        while self.added and (m := self.added.search(raw, at)):
+            text_end = int(doc_offsets[np.searchsorted(doc_offsets, m.start(), side="right")])
+            inside = m if m.end() <= text_end else self.added.match(raw, m.start(), text_end)
+            at = inside.end() if inside else m.start() + 1
+            if inside:
+                out.append(inside.span())
+        return np.array(out, np.int64).reshape(-1, 2)
 
     def words(self, values: list[bytes]) -> list[bytes]:
         get = self.cache.get
@@ -131,7 +147,14 @@ class BatchEncoder:
 
     def encode(self, data: np.ndarray, doc_offsets: np.ndarray) -> Encoded:
         """data: UTF-8 bytes of the texts one after another; doc_offsets: n + 1 offsets."""
-        starts = word_starts(data, doc_offsets[:-1][np.diff(doc_offsets) > 0], self.classes)
+        edges = doc_offsets[:-1][np.diff(doc_offsets) > 0]
+        spans = self.spans(data, doc_offsets)
+        if len(spans):
+            edges = np.union1d(edges, spans)
+        starts = word_starts(data, edges, self.classes)
+        if len(spans):
+            held = np.searchsorted(spans[:, 0], starts, side="left") - 1  # the last span that begins before
+            starts = starts[(held < 0) | (starts >= spans[held, 1])]
         if not len(starts):
             return Encoded(np.zeros(0, np.uint32), np.zeros(len(doc_offsets), np.int64))
         edges = np.append(starts, len(data)).astype(np.int64)
@@ -184,14 +207,19 @@ _LETTERS = byte_letters()
 _PARTED = "\x00" + _LETTERS[1:]
 
 
-def library_encoder(path: str, cache_words: int = CACHE_WORDS) -> BatchEncoder:
-    """Ids as the tokenizers library gives them for the byte-level JSON file at ``path``, without special tokens.
+def library_encoder(path: str, cache_words: int = CACHE_WORDS, added_tokens: bool = False) -> BatchEncoder:
+    """Ids as the tokenizers library gives them for the byte-level JSON file at ``path``, without special tokens around a text.
 
-    Each distinct pre-token goes through the library's model; the strings of special tokens are ordinary text.
+    Each distinct pre-token goes through the library's model. With ``added_tokens`` the strings of the file's added tokens
+    are their ids, as in the library; without, they are ordinary text, as with its ``encode_special_tokens``.
     """
     from tokenizers import Tokenizer, pre_tokenizers
 
-    model = Tokenizer.from_file(path).model
+    library = Tokenizer.from_file(path)
+    model = library.model
+    added = library.get_added_tokens_decoder() if added_tokens else {}
+    if any(t.single_word or t.lstrip or t.rstrip for t in added.values()):
+        raise ValueError("added tokens that depend on what is around them are not supported")
     split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
 
     def pieces(text: str) -> int:
@@ -208,7 +236,7 @@ def library_encoder(path: str, cache_words: int = CACHE_WORDS) -> BatchEncoder:
         tokenize = model.tokenize
         return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in text]
 
-    return BatchEncoder(Classes(probe), encode_words, cache_words)
+    return BatchEncoder(Classes(probe), encode_words, cache_words, {t.content.encode(): i for i, t in added.items()})
 
 
 def letter_classes() -> Classes:

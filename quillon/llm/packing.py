@@ -31,7 +31,7 @@ END_ID = 0
 
 def encoder(path: str):
     """The worker's encoder for a vocabulary file; its word cache lives until the worker turns to another operator."""
-    return worker_state(f"library {path}", lambda: library_encoder(path))
+    return worker_state(f"library {path}", lambda: library_encoder(path, added_tokens=True))
 
 
 @dataclass

@@ -47,6 +47,25 @@ def test_batch_encoder_is_the_library(library):
     assert encoded(batch, values)[-1] == library.encode(values[-1], add_special_tokens=False).ids
 
 
+def test_added_tokens_are_those_of_the_library():
+    library = Tokenizer.from_file(JSON)
+    random.seed(11)
+    parts = ["<|endoftext|>", "<|endo", "ftext|>", "<", " ", "  ", "'s", "a", "é", "\n", "<|endoftext|>"]
+    values = ["a<|endoftext|>b", "<|endoftext|>", "x <|endo", "ftext|> y", "", *("".join(random.choices(parts, k=random.randint(0, 8))) for _ in range(1500)), *ODD]
+    got = encoded(packing.encoder(JSON), values)
+    assert got == [library.encode(v, add_special_tokens=False).ids for v in values]
+    assert got[0] == [64, 50256, 65]
+
+
+def test_added_tokens_in_rows(spark):
+    library = Tokenizer.from_file(JSON)
+    rows = [(1, "a<|endoftext|>b"), (2, "plain"), (3, "<|endoftext|> <|endoftext|>")]
+    ids = {i: library.encode(t, add_special_tokens=False).ids for i, t in rows}
+    assert {r["doc_id"]: r["ids_crc32"] for r in packing.pack_documents(documents(spark, rows), JSON).collect()} == {i: zlib.crc32(np.array([*x, 0], "<u4").tobytes()) for i, x in ids.items()}
+    out = tokenfile.round_trip(documents(spark, rows), JSON).orderBy("start").collect()
+    assert [(r["doc_id"], r["n_tokens"]) for r in out] == [(i, len(x) + 1) for i, x in ids.items()]
+
+
 def test_nulls_slices_and_chunks():
     column = pa.array([None, "ab", None, "c"])
     data, offsets = bytelevel.text_buffer(column.slice(1))
