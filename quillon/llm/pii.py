@@ -41,15 +41,22 @@ _NAME = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}+(?:[-'’]\p{Lu}\p{Ll}+){0,4}"
 _ALL_GIVEN = "|".join(n for names in GIVEN.values() for n in names)
 _ALL_HONORIFICS = "|".join(h for x in HONORIFICS.values() for h in x)
 
+# Telephone numbers beside the North American layout: with a country code; with a leading 0, as in Britain, Germany and
+# France, but no date; of nine digits, as in Spain; ten or so digits after a word for a telephone.
+_ABROAD = r"(?<![0-9A-Za-z])\+(?=[0-9](?:\)?[ .\-/]?\(?[0-9]){7,14}(?![0-9A-Za-z]))[0-9]{1,4}(?:[ .\-/]?\([0-9]{1,5}\))?[ .\-/]?[0-9]{1,12}(?:[ .\-/][0-9]{2,9}){0,6}(?![0-9A-Za-z])"
+_TRUNK = r"(?<![0-9A-Za-z+])(?<![0-9][ .,:/\-])(?![0-3][0-9][./\-][01][0-9][./\-][0-9]{4})(?=\(?0(?:\)?[ .\-/]?[0-9]){8,11}(?![0-9A-Za-z]))(?:\(0[1-9][0-9]{0,4}\)[ .\-/]?|0[1-9][0-9]{0,4}[ .\-/])[0-9]{2,9}(?:[ .\-][0-9]{2,8}){0,4}(?![0-9A-Za-z])"
+_NINE = r"(?<![0-9A-Za-z+])(?<![0-9][ .,:/\-])[6-9][0-9](?:[0-9][ \-][0-9]{3}[ \-][0-9]{3}|[0-9](?:[ \-][0-9]{2}){3}|[ \-][0-9]{3}(?:[ \-][0-9]{2}){2})(?![0-9A-Za-z]|[ .,\-][0-9])"
+_CUED = r"(?<=(?i:\b(?:phone|telephone|tel|mobile|cell|fax|call|teléfono|téléphone|telefon)[.]?[\x20\t]{0,2}[:]?[\x20\t]{0,2}))[0-9]{9,11}(?![0-9A-Za-z])"
+
 #: type -> pattern, tried in this order at each place.
 PATTERNS = {
-    "credential": r"(?<=(?i:\b(?:" + "|".join(CREDENTIALS) + r")[\x20\t]{0,3}[=:][\x20\t]{0,3}[\"']{0,1}))[A-Za-z0-9_+/\-]{6,}=*",
+    "credential": r"(?<=(?i:\b(?:" + "|".join(CREDENTIALS) + r")[\"']{0,1}[\x20\t]{0,3}[=:][\x20\t]{0,3}[\"']{0,1}))(?=[^\s\"'<>A-Za-z0-9]{0,40}[A-Za-z0-9])[^\s\"'<>]{5,}[^\s\"'<>.,;:)\]}]",
     "key": r"\bAKIA[0-9A-Z]{16}\b",
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]*[A-Za-z0-9_%+\-]@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?){0,30}\.[A-Za-z]{2,}(?![A-Za-z0-9])",
     "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
     "ssn": r"(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z\-])",
-    "card": r"(?<![0-9A-Za-z])[3-6][0-9]{3}(?:[ \-]?[0-9]{4}){2}[ \-]?[0-9]{1,4}(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-]?[0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9]{8,15}(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z])(?:(?:[3-6][0-9]{3}|222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720)(?:[ \-]?[0-9]{4}){2}[ \-]?[0-9]{1,4}|3[47][0-9]{2}[ \-][0-9]{6}[ \-][0-9]{5}|3[0689][0-9]{2}[ \-][0-9]{6}[ \-][0-9]{4})(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-]?[0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9]{8,15}(?![0-9A-Za-z])" + "".join(f"|(?:{x})" for x in (_ABROAD, _TRUNK, _NINE, _CUED)),
     "person": rf"(?<![\p{{L}}])(?:(?:{_ALL_HONORIFICS})\.?[ ]{_NAME}(?:[ ]{_NAME})?|(?:{_ALL_GIVEN})[ ]{_NAME})(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -138,12 +145,19 @@ def _card(x: Column, secret: Column) -> Column:
     return _let(_digits(x), build)
 
 
+#: The country code that a number after + begins with: one or two digits, else three.
+_COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+
+
 def _phone(x: Column, secret: Column) -> Column:
-    def build(d: Column) -> Column:
-        own = F.least(F.lit(10), F.length(d) - F.when(x.startswith("+"), 1).otherwise(0))
-        return _laid_out(x, F.concat(F.substring(d, F.lit(1), F.length(d) - own), permute(F.substring(d, F.length(d) - own + 1, own), secret, "digits")))
+    """A country code or leading 0 stays. The first digit after it moves within 1 to 9, so that no number turns into one with a leading 0."""
 
-    return _let(_digits(x), build)
+    def own(d: Column) -> Column:
+        code = F.regexp_extract(d, _COUNTRY, 0)
+        kept = F.when(x.startswith("+"), F.when(code != "", F.length(code)).otherwise(3)).when(d.startswith("0"), 1).otherwise(0)
+        return _let(kept, lambda k: _let(permute(F.substring(d, k + 2, F.length(d)), secret, "digits"), lambda rest: F.concat(F.substring(d, F.lit(1), k), _moved(F.substring(d, k + 1, F.lit(1)), F.conv(F.substring(F.sha2(F.concat_ws("|", secret, rest), 256), 1, 4), 16, 10).cast("int"), ["123456789"]), rest)))
+
+    return _let(_digits(x), lambda d: _laid_out(x, own(d)))
 
 
 def _ip(x: Column, secret: Column) -> Column:
@@ -184,7 +198,8 @@ def kind_of(entity: Column) -> Column:
     """The type of a found entity, by its whole form; what no other pattern matches whole is a credential."""
     out = F.lit("credential")
     for kind in reversed([k for k in PATTERNS if k != "credential"]):
-        out = F.when(entity.rlike(f"^(?:{PATTERNS[kind]})$"), F.lit(kind)).otherwise(out)
+        alone = "|^[0-9]{9,11}$" if kind == "phone" else ""  # what _CUED finds, without the word before it
+        out = F.when(entity.rlike(f"^(?:{PATTERNS[kind]})${alone}"), F.lit(kind)).otherwise(out)
     return out
 
 

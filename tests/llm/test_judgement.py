@@ -272,3 +272,21 @@ def test_surrogates_stay_distinct(spark):
     assert pii.collisions(mapped).count() == 0
     forced = mapped.withColumn("surrogate", F.lit("same"))
     assert pii.collisions(forced).count() == forced.count()
+
+
+def test_surrogates_of_other_layouts(spark):
+    phones = ["+44 20 7946 0958", "+49 30 12345678", "+33 1 23 45 67 89", "+34 912 345 678", "01 23 45 67 89", "912 345 678", "91 234 56 78", "020 7946 0958", "(030) 1234567", "0171/1234567", "+49 (0)30 12345678"]
+    cards = ["3782 822463 10005", "2223003122003222", "2720 9999 9999 9996", "3056 930902 5904"]
+    secrets = ["p@ssw0rd!", "eyJhbGci.eyJzdWIi.SflKxw"]
+    clean = ["on 01.02.2003 10:30 and 05-06-2020 1200", "2024-01-02 10:30:00", "1 912 345 678 and 912.345.678", "5551234567 is an id"]
+    texts = [f"see {x}, or" for x in phones + cards] + [f"password: {x}, ok" for x in secrets] + ["tel: 5551234567 now"] + clean
+    d = docs(spark, [(i, t, None) for i, t in enumerate(texts)])
+    found = phones + cards + secrets + ["5551234567"]
+    s = {r["entity"]: (r["kind"], r["surrogate"]) for r in pii.mapping(d).collect()}
+    assert {e: k for e, (k, _) in s.items()} == {**dict.fromkeys(phones, "phone"), **dict.fromkeys(cards, "card"), **dict.fromkeys(secrets, "credential"), "5551234567": "phone"}
+    got = {r["doc_id"]: r for r in pii.redact(d).collect()}
+    for i, t in enumerate(texts):
+        e = found[i] if i < len(found) else ""
+        assert got[i]["text"] == (t.replace(e, s[e][1]) if e else t) and (not e or s[e][1] != e)
+    assert all(s[e][1].split(" ")[0] == e.split(" ")[0] for e in phones if e.startswith("+"))
+    assert s["+33 1 23 45 67 89"][1][4:] == s["01 23 45 67 89"][1][1:] and pii.collisions(pii.mapping(d)).count() == 0
