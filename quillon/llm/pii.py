@@ -7,7 +7,8 @@ of Cyrillic and Greek), so that script, case, length and layout stay. Three fact
 checked by ``collisions``:
 
 * coreference: equal entities, up to case or phone layout, get surrogates equal up to the same;
-* distinctness: different entities of a type and format get different surrogates, as a permutation is one to one;
+* distinctness: different entities of a type and format get different surrogates, as a permutation is one to one, and
+  the images of a type's formats are disjoint;
 * no entity keeps its value: the permutation is P^-1(S(P(x))), where S moves one character by one place.
 
 Types keep what makes them valid: e-mail keeps its top-level domain, a phone its country code, a card its first
@@ -66,6 +67,7 @@ HINT = rf"[0-9@]|(?i:{'|'.join(CREDENTIALS)})|\b(?:{_ALL_HONORIFICS})\b|\b(?:{_A
 _LOWER, _UPPER, _DIGIT, _HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 _CLASSES = {
     "text": [_DIGIT, _LOWER, _UPPER],
+    "secret": [_DIGIT, _LOWER[:6], _LOWER[6:], _UPPER[:6], _UPPER[6:]],
     "hex": [_HEX, "ABCDEF"],
     "digits": [_DIGIT],
     "base36": [_DIGIT + _UPPER],
@@ -174,14 +176,23 @@ def _email(x: Column, secret: Column) -> Column:
 
 
 def _credential(x: Column, secret: Column) -> Column:
-    return F.when(x.rlike("^[0-9a-f]+$"), permute(x, secret, "hex")).when(x.rlike("^[0-9]+$"), permute(x, secret, "digits")).otherwise(permute(x, secret, "text"))
+    """One permutation for all, so that no two forms share an image; a to f stay among themselves, so hexadecimal values stay such."""
+    return permute(x, secret, "secret")
 
 
 def _person(x: Column, secret: Column) -> Column:
-    """Word by word: honorifics stay, known given names move within their gender and script, other names are permuted."""
+    """Word by word: honorifics stay, known given names move within their gender and script, other names are permuted.
+
+    A name that turns into one of the fixed words is permuted on until it does not (cycle walking), which keeps it one to one.
+    """
+    fixed = [n for names in GIVEN.values() for n in names] + [h for x in HONORIFICS.values() for h in x]
+
+    def walked(first: Column) -> Column:
+        on = F.aggregate(F.sequence(F.lit(1), F.lit(len(fixed))), first, lambda w, _: F.when(w.isin(fixed), permute(w, secret, "name")).otherwise(w))
+        return F.when(first.isin(fixed), on).otherwise(first)
 
     def word(w: Column) -> Column:
-        out = permute(w, secret, "name")
+        out = _let(permute(w, secret, "name"), walked)
         for (gender, script), names in GIVEN.items():
             shift = F.pmod(F.conv(F.substring(F.sha2(F.concat_ws("|", secret, F.lit(gender), F.lit(script)), 256), 1, 8), 16, 10).cast("long"), F.lit(len(names) - 1)) + 1
             at = F.array_position(F.array(*[F.lit(n) for n in names]), w)

@@ -290,3 +290,14 @@ def test_surrogates_of_other_layouts(spark):
         assert got[i]["text"] == (t.replace(e, s[e][1]) if e else t) and (not e or s[e][1] != e)
     assert all(s[e][1].split(" ")[0] == e.split(" ")[0] for e in phones if e.startswith("+"))
     assert s["+33 1 23 45 67 89"][1][4:] == s["01 23 45 67 89"][1][1:] and pii.collisions(pii.mapping(d)).count() == 0
+
+
+def test_forms_of_a_type_share_no_image(spark):
+    """All short credentials of hexadecimal and other lower-case letters, and all short names of one shape, listed ones among them."""
+    secrets = [a + b + c for a in "09af" for b in "acefgkz" for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
+    names = ["Dr " + a + b + c + "a" for a in "BCDFGHJKLMNPQRSTVWXYZ" for b in "aeiou" for c in "bcdfghjklmnpqrstvwxyz"] + ["Dr Lucy", "Dr Mary"]
+    d = spark.createDataFrame([("credential", x) for x in secrets] + [("person", x) for x in names], "kind string, entity string")
+    mapped = d.withColumn("surrogate", pii.surrogate(F.col("entity"), F.col("kind"))).withColumn("documents", F.lit(1))
+    assert pii.collisions(mapped).collect() == []
+    walked = spark.createDataFrame([(n,) for n in ["Dr Ng", "Dr Li", *names]], "e string").select(pii.surrogate(F.col("e"), F.lit("person")).alias("s")).collect()
+    assert len({r["s"] for r in walked}) == len(names) + 2
