@@ -186,11 +186,11 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges whose texts hold at most ``most`` bytes together, or one longer text."""
+def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``rows`` texts that hold at most ``most`` bytes together, or one longer text."""
     begin, n = 0, len(offsets) - 1
     while begin < n:
-        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + most, side="right")) - 1)
+        end = max(begin + 1, min(begin + rows, int(np.searchsorted(offsets, offsets[begin] + most, side="right")) - 1))
         yield begin, min(end, n)
         begin = min(end, n)
 

@@ -18,8 +18,12 @@ the classes, so links are sought in three passes, each between classes that are
 3. in what is left, every pair whose registers agree far enough, each compared exactly where its bucket is held,
    and only those that join two classes come out.
 
-Buckets of the last two passes are dealt to tasks in bounded blocks; buckets of the same nodes are looked at once. Classes are the connected components of
-the links, by label propagation with pointer jumping; no link or component reaches the driver.
+Buckets of the last two passes are dealt to tasks in bounded blocks by (bucket, x, y), never by bucket alone; buckets of
+the same nodes are looked at once. A bucket of m nodes in c classes that are still apart costs (m / BLOCK)^2 blocks. Classes
+are the connected components of the links, by label propagation with pointer jumping; no link or component reaches the driver.
+
+Joins on a key that many rows may share (a bucket, a content, the lead of a class) have an exchange right under each side,
+which is what lets adaptive execution split the key's partition; what is aggregated by such a key is written first for that.
 """
 
 from __future__ import annotations
@@ -41,10 +45,12 @@ SHINGLE = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 8, 30
 REGISTERS = ROWS * BANDS
-#: Least agreement of registers for a pair to be verified: four standard errors below SIMILARITY.
-LEAST_AGREEMENT = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
+#: Least agreement of registers for a pair to be verified: eight standard errors below SIMILARITY, which a link of exactly
+#: that similarity misses with a probability under 1e-12, where banding misses it with 0.004.
+LEAST_AGREEMENT = SIMILARITY - 8 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
 BLOCK = 1024  # nodes of a bucket that one task compares with as many others
-CHUNK_BYTES = 4 << 20
+#: Texts that are sketched at once: at most so many, of so many bytes together, or one longer text.
+CHUNK_TEXTS, CHUNK_BYTES = 1024, 2 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -110,7 +116,6 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, texts: i
     while todo.any():
         live = np.flatnonzero(todo[doc])
         best = np.full(texts * REGISTERS, np.inf)
-        seen: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         own, h, r, time, number = doc[live], shingle[live], rate[live], np.zeros(len(live)), 0
         limit = bound.copy()
         while len(own):
@@ -121,12 +126,10 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, texts: i
             own, h, r, time, draw = own[keep], h[keep], r[keep], time[keep], draw[keep]
             register = own * REGISTERS + ((_mix(draw ^ _ODD) >> np.uint64(32)) * np.uint64(REGISTERS) >> np.uint64(32)).astype(np.int64)
             np.minimum.at(best, register, time)
-            seen.append((register, time, h))
+            first = time == best[register]  # only the arrivals of this step that came before all others stay
+            held[register[first]] = h[first]
             if number <= 4 or number % 8 == 0:
                 limit = np.minimum(limit, best.reshape(texts, REGISTERS).max(axis=1))
-        for register, when, h in seen:
-            first = when == best[register]
-            held[register[first]] = h[first]
         todo &= np.isinf(best.reshape(texts, REGISTERS)).any(axis=1)
         bound[todo] = np.inf
     return held.reshape(texts, REGISTERS)
@@ -142,14 +145,14 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, content (16-byte digest of the words), bands and registers (low 32 bits, of the set) of every text that isn't null."""
+    """doc_id, version (hash of the text), content (16-byte digest of the words), bands and registers (low 32 bits, of the set) of every text that isn't null."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("near duplicates", dict)
         for batch in batches:
             sizes = np.concatenate([np.zeros(1, np.int64), np.cumsum(pc.binary_length(batch.column(1)).to_numpy())])
-            for low, high in chunks(sizes, CHUNK_BYTES):
+            for low, high in chunks(sizes, CHUNK_BYTES, CHUNK_TEXTS):
                 data, offsets = text_buffer(pc.utf8_lower(batch.column(1).slice(low, high - low)))
                 words, at = word_hashes(data, offsets)
                 doc, shingle, count = shingles(words, at)
@@ -165,10 +168,14 @@ def sketch(docs: DataFrame) -> DataFrame:
                 empty = np.diff(at) == 0
                 bands = pa.array([None if empty[i] else found[i] for i in range(high - low)], pa.list_(pa.int64()))
                 registers = pa.array([r.tobytes() for r in held.astype(np.uint32)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(content, pa.binary()), bands, registers], ["doc_id", "content", "bands", "registers"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(2).slice(low, high - low), pa.array(content, pa.binary()), bands, registers], ["doc_id", "version", "content", "bands", "registers"])
+
+    return _versions(docs).mapInArrow(run, "doc_id long, version long, content binary, bands array<long>, registers binary")
 
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "doc_id long, content binary, bands array<long>, registers binary")
+
+def _versions(docs: DataFrame) -> DataFrame:
+    """doc_id, text and version (a hash of the text) of rows that have both."""
+    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("version"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -196,9 +203,10 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep[begin:end] = both >= SIMILARITY * (size_a + size_b - both) - 1e-9
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
+    # a lead may have a third of all nodes as its partners: its side comes last, where adaptive execution splits the lead's partition
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -277,12 +285,18 @@ def _exact(table: pa.Table) -> pa.Table:
     return _spanning(table, similar)
 
 
-def _blocks(active: DataFrame, compare) -> DataFrame:
-    """What ``compare`` finds in each bucket; a bucket of more than BLOCK nodes is compared in pairs of parts."""
-    sized = active.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    dealt = active.join(sized, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    keyed = dealt.withColumn("x", F.least("own", "with")).withColumn("y", F.greatest("own", "with")).withColumn("side", F.when(F.col("own") == F.col("with"), 0).when(F.col("own") < F.col("with"), 1).otherwise(2))
-    return keyed.drop("parts", "own", "with").groupBy("bucket", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+def _blocks(active: DataFrame, payload: DataFrame, compare) -> DataFrame:
+    """What ``compare`` finds in each bucket of ``active`` (bucket, node, label; materialised), each node with its ``payload``.
+
+    A bucket of more than BLOCK nodes is compared in pairs (x, y) of parts. Rows are dealt by (bucket, x, y) explicitly:
+    the partitioning that the joins leave, by bucket or node, would satisfy the grouping and put a whole bucket into one task.
+    """
+    hot = active.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = active.join(hot, "bucket", "left").withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
+    keyed = dealt.select("bucket", "node", "label", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), F.when(F.col("own") == F.col("with"), 0).when(F.col("own") < F.col("with"), 1).otherwise(2).alias("side"))
+    full = keyed.join(payload, "node").repartition("bucket", "x", "y")
+    return full.groupBy("bucket", "x", "y").applyInArrow(compare, "a long, b long").distinct()
 
 
 def _shingle_sets(texts: DataFrame) -> DataFrame:
@@ -291,7 +305,7 @@ def _shingle_sets(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(pc.utf8_lower(batch.column(1)))
-            for low, high in chunks(offsets, CHUNK_BYTES):
+            for low, high in chunks(offsets, CHUNK_BYTES, CHUNK_TEXTS):
                 doc, found, _ = shingles(*word_hashes(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]))
                 cut = np.searchsorted(doc, np.arange(high - low + 1))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array([found[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], ["node", "shingles"])
@@ -312,26 +326,30 @@ def classes(docs: DataFrame) -> DataFrame:
     """doc_id and class_id, the least doc_id of its class, for every document.
 
     A null text is a class of its own. Texts without a word are equal to each other and to no other. Rows that share
-    a doc_id are one document; a null doc_id has a null class. Columns beside doc_id and text are not read.
+    a doc_id are one document, with the copies of each of its texts; near copies are sought for the text whose hash is the
+    least. A null doc_id has a null class. Ties cannot be: a class is named by its least doc_id. A very long text is sketched
+    alone, in memory that grows with its words. An empty table gives no rows. Columns beside doc_id and text are not read.
     """
     rows = materialise(sketch(docs), "sketches")
     content = materialise(rows.groupBy("content").agg(F.min("doc_id").alias("node")), "contents")
-    nodes = materialise(rows.join(content.select(F.col("node").alias("doc_id"), "content"), ["doc_id", "content"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "bands", "registers"), "nodes")
+    held = rows.join(content.select(F.col("node").alias("doc_id"), "content"), ["doc_id", "content"], "left_semi")
+    nodes = materialise(held.groupBy(F.col("doc_id").alias("node")).agg(F.min(F.struct("version", "content", "bands", "registers")).alias("r")).select("node", "r.version", "r.bands", "r.registers"), "nodes")
     hits = nodes.where("bands is not null").select("node", F.explode("bands").alias("bucket"))
-    leads = hits.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("_last")).where("lead < _last").drop("_last")
+    leads = materialise(hits.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("_last")).where("lead < _last").drop("_last"), "leads")
     shared = materialise(hits.join(leads, "bucket"), "buckets")
     links, labels = None, None
     if not shared.isEmpty():
-        wanted = shared.select(F.explode(F.array("node", "lead")).alias("node")).distinct()
-        texts = materialise(docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
+        wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "version")  # a lead is in its bucket itself
+        texts = materialise(_versions(docs).withColumnRenamed("doc_id", "node").join(wanted, ["node", "version"], "left_semi").dropDuplicates(["node"]).select("node", "text"), "texts")
         stars = shared.groupBy("node").agg(F.min("lead").alias("a")).where("a < node").select("a", F.col("node").alias("b"))
         links = materialise(_verified(stars, texts), "links")
         labels = components(links)
         for compare in (_likely, _exact):
-            active = _apart(shared, labels).join(nodes.select("node", "registers"), "node")
+            active = materialise(_apart(shared, labels), "active")
+            payload = nodes.select("node", "registers")
             if compare is _exact:
-                active = active.join(_shingle_sets(texts), "node")
-            found = materialise(_blocks(active, compare), "pairs")
+                payload = payload.join(_shingle_sets(texts.join(active.select("node").distinct(), "node", "left_semi")), "node")
+            found = materialise(_blocks(active, payload, compare), "pairs")
             more = materialise(_verified(found, texts), "links") if compare is _likely else found
             if not more.isEmpty():
                 links = links.union(more)
