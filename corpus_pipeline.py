@@ -35,9 +35,14 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The document with the least doc_id of each class. Rows that share a doc_id are one document; rows without one all stay."""
+    """The document with the least doc_id of each class.
+
+    Rows that share a doc_id are one document, of which the row that sorts first by its values stays, nulls first; rows
+    without a doc_id all stay. No documents give none.
+    """
     keep = neardup.classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rest = F.struct(F.xxhash64("text").alias("h"), *COLUMNS[1:])
+    known = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(rest).alias("r")).select("doc_id", "r.*")
     return known.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
