@@ -58,7 +58,7 @@ def op9_top_k(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
-    return pii.redact(table(spark, folder, "documents").select("doc_id", "text"))
+    return pii.replaced(table(spark, folder, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
