@@ -48,7 +48,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> D
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """All documents, with surrogates for personal data; n_chars follows the text."""
-    found = pii.redact(docs.select(*COLUMNS))
+    found = pii.replaced(docs.select(*COLUMNS))
     return found.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
