@@ -35,7 +35,7 @@ END_ID = 2
 LEVEL = 3
 #: The dictionary is trained on at most this many documents, those with the smallest hash of their id, and on
 #: at most SAMPLE_IDS ids of each. It decides how well ids are compressed and never what is read back.
-SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 1000, 4096, 64 << 10
+SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES, LEAST_DICTIONARY = 1000, 4096, 64 << 10, 512
 
 
 class ShardWriter:
@@ -43,8 +43,7 @@ class ShardWriter:
 
     def __init__(self, stream, dictionary: bytes, width: int):
         self.stream, self.dtype = stream, np.dtype(f"<u{width}")
-        shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-        self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=True)
+        self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True)
         self.docs, self.counts, self.offsets = [], [], []
         head = MAGIC + struct.pack("<II", 1, width) + hashlib.sha256(dictionary).digest()
         stream.write(head)
@@ -78,8 +77,7 @@ class ShardReader:
         if head[16:48] != hashlib.sha256(dictionary).digest():
             raise ValueError("the shard was written with another dictionary")
         self.dtype = np.dtype(f"<u{width}")
-        shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-        self.decompressor = zstandard.ZstdDecompressor(dict_data=shared)
+        self.decompressor = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
         size = file.size()
         file.seek(size - 28)
         tail = file.read(28)
@@ -120,16 +118,25 @@ class ShardReader:
 
 
 def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
-    """A dictionary from the bounded sample; empty (no dictionary) where there is too little to train on."""
+    """A dictionary trained on the serialized ids of the bounded sample.
+
+    It has an eighth of the sample's size, DICTIONARY_BYTES at most. A small sample is repeated, as training asks for
+    several times the dictionary's size; where it still finds no segment worth keeping (a few short documents, or none with text),
+    the sample itself is the dictionary, as raw content. So there is one at every size, and its hash is in every shard.
+    """
     sample = smallest(docs.where("text is not null").select("doc_id", "text"), F.xxhash64("doc_id"), SAMPLE_DOCS).select(F.substring("text", 1, 4 * SAMPLE_IDS).alias("text")).toArrow()
     data, offsets = text_buffer(sample["text"])
     samples = []
     for low, high in chunks(offsets):
         got = encoder(path).encode(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
         samples += [np.append(got.ids[a : min(b, a + SAMPLE_IDS)], end_id).astype("<u2").tobytes() for a, b in zip(got.offsets, got.offsets[1:], strict=False)]
-    if sum(map(len, samples)) < 8 * DICTIONARY_BYTES or len(samples) < 16:
-        return b""
-    return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+    total = sum(map(len, samples))
+    size = min(DICTIONARY_BYTES, max(LEAST_DICTIONARY, total // 8))
+    repeats = max(1, -(-8 * size // max(1, total)), -(-16 // max(1, len(samples))))
+    try:
+        return zstandard.train_dictionary(size, samples * repeats).as_bytes()
+    except zstandard.ZstdError:
+        return (b"".join(samples) + np.full(8, end_id, "<u2").tobytes())[:size]
 
 
 def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = END_ID) -> tuple[list[tuple[str, int, int]], bytes]:
@@ -216,7 +223,12 @@ def _batch(out: tuple[list, ...], with_ids: bool) -> pa.RecordBatch:
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """Write the token files of ``docs`` to the shared folder and read them back. No documents give no rows."""
+    """Write the token files of ``docs`` to the shared folder and read them back.
+
+    No documents give no rows. Repeated rows are documents each. A document is encoded and compressed whole, so a very long one
+    needs memory in proportion. Null doc_ids come back null; the least 64-bit integer stands for them in a shard and is no id.
+    Columns beside doc_id and text are not read.
+    """
     spark = docs.sparkSession
     folder = scratch(spark, "token-files")
     shards, _ = write_token_files(docs, path, folder)
