@@ -27,6 +27,7 @@ REVISIT_BYTES = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"  # pages have no time of their own; a constant keeps archives reproducible
 BLOCK = 1 << 16
+SALTS = 32  # parts that the ids of one payload are dealt to
 
 
 def base32_digest(data: bytes) -> str:
@@ -120,13 +121,15 @@ def records(stream) -> Iterator[Record]:
 def with_revisits(pages: DataFrame) -> DataFrame:
     """page_id, url, html ('' for null) and refers_to: the largest page_id with the same payload, if it is another.
 
-    Only ids and digests are grouped; the count of a hot payload is made map-side. What is joined to the pages
-    is keyed by page_id, so that no task receives all copies of a payload.
+    Only ids and digests are grouped; the count of a hot payload is made map-side. The ids of a payload then meet its
+    largest one by (digest, salt), where the salt comes from the id, so no task receives all ids of a hot payload; what is
+    joined to the pages is keyed by page_id.
     """
     base = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     keyed = base.where(F.octet_length("html") >= REVISIT_BYTES).select("page_id", F.sha1(F.encode("html", "UTF-8")).alias("digest"))
     last = keyed.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("_least")).where("_least < refers_to").drop("_least")
-    revisits = keyed.join(last, "digest").where("page_id < refers_to").groupBy("page_id").agg(F.map_from_entries(F.collect_set(F.struct("digest", "refers_to"))).alias("_to"))
+    salted = last.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    revisits = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"]).where("page_id < refers_to").groupBy("page_id").agg(F.map_from_entries(F.collect_set(F.struct("digest", "refers_to"))).alias("_to"))
     joined = base.join(revisits, "page_id", "left")
     refers = F.when(F.col("_to").isNotNull() & (F.octet_length("html") >= REVISIT_BYTES), F.try_element_at("_to", F.sha1(F.encode("html", "UTF-8"))))
     return joined.select("page_id", "url", "html", refers.alias("refers_to"))
@@ -190,7 +193,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Archive ``pages`` in the shared folder and read the archives back.
 
     Null html is an empty payload, null urls become about:blank, a null page_id is kept. Rows that share both
-    the largest page_id and the payload are all responses. Columns beside page_id, url and html are not read.
+    the largest page_id and the payload are all responses. An empty table gives no rows. A record is held whole, so a very
+    long payload needs memory in proportion. Columns beside page_id, url and html are not read.
     """
     spark = pages.sparkSession
     folder = scratch(spark, "warc")
