@@ -1,7 +1,7 @@
 """Exact top-k inner products by M-tree best-first search (operator 9).
 
 Vectors are dealt to their nearest pivot. The pivots with their covering radii are the root of an M-tree; below,
-blocks of bounded size hold paged trees, built where they are searched. A routing entry keeps its covering radius
+blocks of bounded size hold trees, each built once and written as pages, a row a node. A routing entry keeps its covering radius
 and its distance to its parent, so that the bound
 
     <q, x>  <=  <q, c> + |q| * d(c, x)
@@ -9,6 +9,9 @@ and its distance to its parent, so that the bound
 of a child follows from its parent's product alone, and most products with routing objects and vectors are never
 computed. Each query searches the blocks of its best pivot first; its k-th score then decides which other
 blocks can still hold a better vector, and only those get the query. Bounds err upwards, so the result is exact.
+
+Vectors are shuffled once, to build the trees. Pages go to the queries that their block was found for, in as many copies
+as those queries fill parts of QUERY_ROWS; a block that no query needs is not read by a task.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ FANOUT = 16  # entries of a routing node
 TOGETHER = 512  # queries that go through a tree at once
 BLOCK_ROWS = 16384  # vectors of a block, and with it of one task's tree
 QUERY_ROWS = 32768  # queries that one task searches a block for
-MOST_PIVOTS = 1024  # the bound of what is broadcast: pivots with their radii
+MOST_PIVOTS = 16384  # the bound of what is broadcast: pivots with their radii, 8 bytes a component
+AT_ONCE = 1 << 22  # products of rows and pivots that are held at once
 
 
 #: Scores and places share 64 bits: 42 for the score with its sign, 21 for the place.
@@ -76,17 +80,42 @@ class MTree:
         self.nodes.append((False, routing, np.array([c[2] for c in children]), up, [c[0] for c in children]))
         return len(self.nodes) - 1, centre, radius
 
-    def search(self, q: np.ndarray, k: int, own: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def pages(self) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
+        """Every node as (number, vectors, places or children, distances, radii or nothing); -1 is the root's entry with all ids."""
+        if self.root is not None:
+            number, centre, radius = self.root
+            yield -1, centre.tobytes(), np.append(self.ids, number).astype(np.int64).tobytes(), b"", np.float64(radius).tobytes()
+        for number, node in enumerate(self.nodes):
+            if node[0]:
+                yield number, node[1].tobytes(), np.asarray(node[2], np.int64).tobytes(), node[3].tobytes(), b""
+            else:
+                yield number, node[1].tobytes(), np.asarray(node[4], np.int64).tobytes(), node[3].tobytes(), node[2].tobytes()
+
+    @classmethod
+    def of_pages(cls, pages: list[tuple[int, bytes, bytes, bytes, bytes]], width: int) -> MTree:
+        tree = cls(np.zeros((0, width)), np.zeros(0, np.int64))
+        for number, x, places, distance, radii in sorted(pages, key=lambda p: p[0]):
+            places = np.frombuffer(places, np.int64)
+            if number < 0:
+                tree.ids, tree.root = places[:-1], (int(places[-1]), np.frombuffer(x), float(np.frombuffer(radii)[0]))
+            else:
+                x, distance = np.frombuffer(x).reshape(-1, width), np.frombuffer(distance)
+                tree.nodes.append((False, x, np.frombuffer(radii), distance, places.tolist()) if radii else (True, x, places, distance))
+        return tree
+
+    def search(self, q: np.ndarray, k: int, own: np.ndarray, least: np.ndarray, wide: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, score, id) of the k best vectors of each query but those with its own id, ties to smaller ids.
 
         Queries go best first together: the queue is ordered by the best bound of any query, and a node is opened
         with those queries only whose own bound reaches their k-th score. Scores under ``least`` may be left out.
+        ``wide`` is for scores that 41 bits don't hold: ranks are then by two sorted keys instead of one packed integer.
         """
         n = len(q)
         if self.root is None or not n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         size = np.sqrt((q * q).sum(axis=1))
         top = np.full((n, k), _NONE)  # score and place in one integer, so that a larger one is a better one
+        high, low = np.full((n, k), -np.inf), np.zeros((n, k), np.int64)  # the same in two, where wide
         bar = least.astype(np.float64).copy()
         number, centre, radius = self.root
         product = q @ centre
@@ -104,8 +133,17 @@ class MTree:
                 _, x, places, distance = node
                 # by the parent's products alone: vectors that no query needs are left out
                 take = np.flatnonzero((_slack(product[:, None] + size[rows, None] * distance) >= bar[rows, None]).any(axis=0))
-                found = np.rint(q[rows] @ x[take].T).astype(np.int64)
+                found = np.rint(q[rows] @ x[take].T)
                 self.computed += found.size
+                if wide:
+                    found[(found < bar[rows, None]) | (self.ids[places[take]] == own[rows, None])] = -np.inf
+                    scores = np.concatenate([high[rows], found], axis=1)
+                    at = np.concatenate([low[rows], np.broadcast_to(places[take], found.shape)], axis=1)
+                    best = np.lexsort((at, -scores), axis=1)[:, :k]
+                    high[rows], low[rows] = np.take_along_axis(scores, best, 1), np.take_along_axis(at, best, 1)
+                    bar[rows] = np.maximum(bar[rows], high[rows, -1])
+                    continue
+                found = found.astype(np.int64)
                 keys = (found << _SHIFT) | (_PLACES - places[take])
                 keys[(found < bar[rows, None]) | (self.ids[places[take]] == own[rows, None])] = _NONE
                 better = (keys > top[rows, :1]).any(axis=1)  # the first of a row of top is its least
@@ -128,6 +166,9 @@ class MTree:
                     own_bound = _slack(found + size[own_rows] * radii[j])
                     pushed += 1
                     heapq.heappush(queue, (-own_bound.max(), pushed, children[j], own_rows, found, own_bound))
+        if wide:
+            row, at = np.nonzero(high != -np.inf)
+            return row, np.clip(high[row, at], -(2.0**63), 2.0**63 - 1024).astype(np.int64), self.ids[low[row, at]]
         row, at = np.nonzero(top != _NONE)
         return row, top[row, at] >> _SHIFT, self.ids[_PLACES - (top[row, at] & _PLACES)]
 
@@ -150,18 +191,24 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 
 
+def _nearby(x: np.ndarray, many: int) -> Iterator[slice]:
+    """Slices of the rows of x whose products with ``many`` pivots are held at once."""
+    step = max(1, AT_ONCE // max(1, many))
+    for begin in range(0, len(x), step):
+        yield slice(begin, begin + step)
+
+
 def top_k(vectors: DataFrame, k: int, is_query: Column) -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows for each row of ``vectors`` (vec_id, v) that ``is_query`` chooses.
 
-    Rows with the query's own id are no candidates. Fewer than k candidates give fewer rows; no queries give none.
-    Repeated ids are candidates each, and as queries count once for each different vector.
+    Rows with the query's own id are no candidates. Fewer than k candidates give fewer rows; no queries or an empty table
+    give none. Ties go to the smaller vec_id. Repeated ids are candidates each, and as queries count once for each different
+    vector. Scores are exact below 2^53; larger ones are those of doubles, and the largest long at most. Other columns are not read.
     """
     spark = vectors.sparkSession
     ship(spark)
     width, rows, most = vectors.agg(F.max(F.size("v")), F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
-    width = width or 0
-    if (most or 0) >= 2.0**41:
-        raise ValueError("inner products would pass 41 bits, which is what ranking by one integer holds")
+    width, wide = width or 0, (most or 0) >= 2.0**41
     padded = vectors.select("vec_id", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("v"))).alias("v"))
     many = max(1, min(MOST_PIVOTS, math.ceil(rows / BLOCK_ROWS) * 2))
     pivots = _matrix(padded.orderBy(F.xxhash64("v"), "vec_id").limit(many).toArrow()["v"], width)
@@ -169,54 +216,72 @@ def top_k(vectors: DataFrame, k: int, is_query: Column) -> DataFrame:
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
+        norm = (p**2).sum(axis=1)
         for batch in batches:
             x = _matrix(batch.column(1), width)
-            near = ((p**2).sum(axis=1) - 2 * x @ p.T).argmin(axis=1) if len(x) else np.zeros(0, np.int64)
+            near = np.zeros(len(x), np.int64)
+            for part in _nearby(x, len(p)):
+                near[part] = (norm - 2 * x[part] @ p.T).argmin(axis=1)
             distance = np.sqrt(((x - p[near]) ** 2).sum(axis=1))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), pa.array(distance)], ["vec_id", "v", "pivot", "distance"])
 
     dealt = materialise(padded.mapInArrow(assign, "vec_id long, v array<double>, pivot int, distance double"), "vectors")
     sizes = {r[0]: (math.ceil(r[1] / BLOCK_ROWS), r[2]) for r in dealt.groupBy("pivot").agg(F.count("*"), F.max("distance")).collect()}  # a row a pivot
-    queries = dealt.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).distinct()
-    parts = max(1, math.ceil(queries.count() / QUERY_ROWS))
     radii = np.full(many, -1.0)
     for p, (_, r) in sizes.items():
         radii[p] = r
-    salts = F.create_map(*[F.lit(x) for p, (n, _) in sizes.items() for x in (p, n)]) if sizes else F.create_map(F.lit(0), F.lit(1))
+    by_pivot = lambda table: F.create_map(*[F.lit(x) for pair in (table or {0: 1}).items() for x in pair])
+    salts = by_pivot({p: n for p, (n, _) in sizes.items()})
     salted = dealt.select("vec_id", "v", "pivot", F.pmod(F.xxhash64("vec_id", "v"), salts[F.col("pivot")]).cast("int").alias("salt"))
-    blocks = salted.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))) if parts > 1 else salted.withColumn("part", F.lit(0))
 
-    def route(home: bool):
+    def build(block: pa.Table) -> pa.Table:
+        made = list(MTree(_matrix(block["v"], width), block["vec_id"].to_numpy()).pages())
+        keys = [pa.array([block[c][0].as_py()] * len(made), pa.int32()) for c in ("pivot", "salt")]
+        return pa.table([*keys, pa.array([m[0] for m in made], pa.int32()), *(pa.array([m[j] for m in made], pa.binary()) for j in range(1, 5))], ["pivot", "salt", "node", "x", "places", "distance", "radii"])
+
+    pages = materialise(salted.groupBy("pivot", "salt").applyInArrow(build, "pivot int, salt int, node int, x binary, places binary, distance binary, radii binary"), "pages")
+    queries = dealt.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).distinct()
+
+    def route(home: bool, count: bool):
+        """Each query with the pivots whose blocks can hold a better vector, or only how many queries each pivot gets."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            p = shared.value
+            p, found = shared.value, np.zeros(many, np.int64)
             for batch in batches:
                 q = _matrix(batch.column(1), width)
                 bar = batch.column(2).to_numpy(zero_copy_only=False)
-                bounds = np.where(radii >= 0, _slack(q @ p.T + np.sqrt((q**2).sum(axis=1))[:, None] * np.maximum(radii, 0)), -np.inf)
-                best = bounds.argmax(axis=1) if len(q) else np.zeros(0, np.int64)
-                if home:
-                    row, to = np.arange(len(q)), best
-                else:
-                    row, to = np.nonzero((bounds >= bar[:, None]) & (np.arange(p.shape[0]) != best[:, None]))
-                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in batch.columns), pa.array(to.astype(np.int32))], ["query_id", "q", "least", "pivot"])
+                for part in _nearby(q, len(p)):
+                    own = q[part]
+                    bounds = np.where(radii >= 0, _slack(own @ p.T + np.sqrt((own**2).sum(axis=1))[:, None] * np.maximum(radii, 0)), -np.inf)
+                    best = bounds.argmax(axis=1)
+                    row, to = (np.arange(len(own)), best) if home else np.nonzero((bounds >= bar[part, None]) & (np.arange(len(p)) != best[:, None]))
+                    if count:
+                        found += np.bincount(to, minlength=many)
+                    else:
+                        yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row + part.start)) for c in batch.columns), pa.array(to.astype(np.int32))], ["query_id", "q", "least", "pivot"])
+            if count:
+                at = np.flatnonzero(found)
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(found[at])], ["pivot", "n"])
 
         return run
 
-    routed_ddl = "query_id long, q array<double>, least double, pivot int"
-    found_ddl = "query_id long, q array<double>, vec_id long, score long"
-
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        tree = MTree(_matrix(left["v"], width), left["vec_id"].to_numpy())
+        columns = [left[c].to_pylist() for c in ("node", "x", "places", "distance", "radii")]
+        tree = MTree.of_pages(list(zip(*columns, strict=True)), width)
         q = _matrix(right["q"], width)
         own, least = right["query_id"].to_numpy(), right["least"].to_numpy()
-        found = [(begin + r, v, s) for begin in range(0, len(q), TOGETHER) for r, s, v in [tree.search(q[begin : begin + TOGETHER], k, own[begin : begin + TOGETHER], least[begin : begin + TOGETHER])]]
+        found = [(begin + r, v, s) for begin in range(0, len(q), TOGETHER) for r, s, v in [tree.search(q[begin : begin + TOGETHER], k, own[begin : begin + TOGETHER], least[begin : begin + TOGETHER], wide)]]
         row, ids, scores = (pa.array(np.concatenate([*(f[j] for f in found), np.zeros(0, np.int64)]), pa.int64()) for j in range(3))
         return pa.table([right["query_id"].take(row), right["q"].take(row), ids, scores], ["query_id", "q", "vec_id", "score"])
 
     def searched(asked: DataFrame, home: bool) -> DataFrame:
-        to = asked.mapInArrow(route(home), routed_ddl).withColumn("salt", F.explode(F.sequence(F.lit(0), salts[F.col("pivot")] - 1))).withColumn("part", F.pmod(F.xxhash64("query_id", "q"), F.lit(parts)).cast("int"))
+        counts = asked.mapInArrow(route(home, True), "pivot int, n long").groupBy("pivot").agg(F.sum("n")).collect()  # a row a pivot
+        parts = by_pivot({p: math.ceil(n / QUERY_ROWS) for p, n in counts})
+        to = asked.mapInArrow(route(home, False), "query_id long, q array<double>, least double, pivot int")
+        to = to.withColumn("salt", F.explode(F.sequence(F.lit(0), salts[F.col("pivot")] - 1))).withColumn("part", F.pmod(F.xxhash64("query_id", "q"), parts[F.col("pivot")]).cast("int"))
+        needed = pages.where(F.col("pivot").isin([p for p, _ in counts])).withColumn("part", F.explode(F.sequence(F.lit(0), parts[F.col("pivot")] - 1)))
         keys = ["pivot", "salt", "part"]
-        return blocks.groupBy(*keys).cogroup(to.groupBy(*keys)).applyInArrow(search, found_ddl)
+        return needed.groupBy(*keys).cogroup(to.groupBy(*keys)).applyInArrow(search, "query_id long, q array<double>, vec_id long, score long")
 
     def best(found: DataFrame) -> DataFrame:
         order = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")

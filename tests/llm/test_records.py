@@ -23,6 +23,8 @@ def test_round_trip(spark):
         want.append((i, len(payload), hashlib.sha1(payload).hexdigest(), "revisit" if revisit else "response", last if revisit else None))
     assert out == sorted(want)
     assert warc.round_trip(spark.createDataFrame([], PAGE)).count() == 0
+    none = warc.round_trip(spark.createDataFrame([(None, "u", big, "x"), (3, "u", big, "x"), (4, "u", "y" * 400_000, "x")], PAGE)).collect()
+    assert {(r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in none} == {(None, 1200, "response", None), (3, 1200, "response", None), (4, 400_000, "response", None)}
 
 
 def test_archive_is_standard_gzip_and_is_verified():
@@ -51,21 +53,36 @@ def brute(rows, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shape", ["random", "clustered", "equal"])
+@pytest.mark.parametrize("shape", ["random", "clustered", "equal", "large"])
 def test_top_k_is_exact(spark, shape, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK_ROWS", 300)
     monkeypatch.setattr(topk, "QUERY_ROWS", 20)
     draw = np.random.default_rng(4)
     n, d = 900, 6
     centres = draw.normal(size=(5, d)) * 3
-    vectors = {"random": draw.normal(size=(n, d)), "clustered": centres[draw.integers(0, 5, n)] + 0.05 * draw.normal(size=(n, d)), "equal": np.tile(centres[:3], (n // 3, 1))}[shape]
+    vectors = {"random": draw.normal(size=(n, d)), "clustered": centres[draw.integers(0, 5, n)] + 0.05 * draw.normal(size=(n, d)), "equal": np.tile(centres[:3], (n // 3, 1)), "large": np.floor(draw.normal(size=(n, d)) * 30) * 2.0**14}[shape]
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
     rows += [(10000, None), (10020, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (10040, [float("nan")] * d), (None, [1.0] * d), (10060, [float("inf")] * d)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, pivot int, rank int")
     got = topk.top_k(topk.quantised(df), 20, F.col("vec_id") % 20 == 0).collect()
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == brute(rows, 20)
 
 
+def test_top_k_of_repeated_ids(spark):
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [2.0, 0.0]), (7, [1.0, 1.0]), (7, [1.0, 1.0]), (8, [3.0])]
+    got = topk.top_k(topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), 2, F.col("vec_id") % 20 == 0).collect()
+    assert sorted((r["query_id"], r["vec_id"], r["score"]) for r in got) == [(0, 7, 8192), (0, 7, 12288), (0, 7, 12288), (0, 8, 24576)]
+
+
+def test_trees_come_back_from_pages():
+    draw = np.random.default_rng(5)
+    x = np.floor(draw.normal(size=(5000, 7)) * 64)
+    tree = topk.MTree(x, draw.permutation(5000))
+    again = topk.MTree.of_pages(list(tree.pages())[::-1], 7)
+    a, b = (t.search(x[:50], 9, np.arange(50), np.full(50, -np.inf), wide) for t, wide in ((tree, False), (again, True)))
+    assert sorted(zip(*a, strict=True)) == sorted(zip(*b, strict=True))
+
+
 def test_top_k_of_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [-1.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in topk.top_k(topk.quantised(df), 20, F.col("vec_id") % 20 == 0).collect()] == [(0, 1, 1, -4096)]
