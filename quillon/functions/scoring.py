@@ -162,6 +162,14 @@ def confidence(response: Column, gold: Column, ambiguous: list[str], names: list
     return _result(overall, acc=right.cast("int"), unsure=unsure.cast("int"), answered=(~unsure).cast("int"), confidence=sure)
 
 
+@scorer("verdict")
+def verdict(response: Column, gold: Column, ambiguous: list[str], names: list[str], right: float = 1.5, wrong: float = -1.0, silent: float = -1.5) -> Column:
+    """``right`` or ``wrong`` for a committed answer, ``silent`` for an ambiguous text or none of the names (R-18)."""
+    doubtful, given = _diagnosis(response, ambiguous, names)
+    hit = given == F.lower(gold)
+    return _result(F.when(doubtful | (given == "unknown"), silent).when(hit, right).otherwise(wrong), acc=hit.cast("int"), ambiguous=doubtful.cast("int"))
+
+
 @scorer("structure")
 def structure(response: Column, gold: Column, ambiguous: list[str], names: list[str], weights: dict[str, float], most: float = 1.0) -> Column:
     """Correctness plus capped weights for sections and features that are named (R-16, R-17)."""

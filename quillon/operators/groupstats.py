@@ -85,6 +85,21 @@ def task_ops(df: DataFrame, weights: dict[str, float], least: int, eps: float =
     return joined.withColumn(value, F.when(F.col("_n") >= least, (F.col(value) - F.col("_mean")) / (F.col("_std") + eps)).otherwise(F.col(value))).drop("_mean", "_std", "_n")
 
 
+def task_ops_masked(df: DataFrame, weights: dict[str, float], least: int, eps: float = EPS, task: str = "task", values: str = "advantages", mask: str = "mask") -> DataFrame:
+    """The same over arrays of tokens: weights for all, whitening by the statistics of a task's masked tokens, of masked tokens only (W-14).
+
+    A task with fewer than ``least`` masked tokens keeps its weighted values. Tokens are aggregated by task map-side; a null task is 'unknown'.
+    """
+    own = F.create_map(*[F.lit(x) for k, v in weights.items() if k != "*" for x in (k, float(v))]) if set(weights) - {"*"} else None
+    named = F.coalesce(F.nullif(F.col(task), F.lit("")), F.lit("unknown"))
+    factor = F.coalesce(own[named], F.lit(float(weights.get("*", 1.0)))) if own is not None else F.lit(float(weights.get("*", 1.0)))
+    weighted = df.withColumn("_task", named).withColumn(values, F.transform(values, lambda x: x * factor))
+    tokens = weighted.select("_task", F.explode(F.arrays_zip(F.col(values).alias("v"), F.col(mask).alias("m"))).alias("t")).where("t.m = 1")
+    stats = tokens.groupBy("_task").agg(F.avg("t.v").alias("_mean"), F.stddev_pop("t.v").alias("_std"), F.count("*").alias("_n"))
+    white = F.zip_with(values, mask, lambda x, m: F.when(m == 1, (x - F.col("_mean")) / (F.col("_std") + eps)).otherwise(x))
+    return weighted.join(stats, "_task", "left").withColumn(values, F.when(F.col("_n") >= least, white).otherwise(F.col(values))).drop("_task", "_mean", "_std", "_n")
+
+
 def weak_classes(df: DataFrame, threshold: float, bottom: int, task: str = "task", score: str = "score") -> DataFrame:
     """Classes whose mean score is at most ``threshold``; where there is none, the ``bottom`` lowest (A-20)."""
     means = df.groupBy(task).agg(F.avg(score).alias("mean"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,16 +92,22 @@ def ema(df: DataFrame, decay: float, task: str = "task", step: str = "step") ->
     Folded over each task's steps in order; a step is one row however many responses it had, so the list is short.
     """
     rows = df.groupBy(task).agg(F.sort_array(F.collect_list(F.struct(step, "correct", "total"))).alias("_steps"))
-    empty = F.array().cast(f"array<struct<{step}:bigint,ema:double>>")
-    start = F.struct(F.lit(None).cast("double").alias("c"), F.lit(None).cast("double").alias("t"), empty.alias("out"))
 
-    def step_(s: Column, x: Column) -> Column:
-        mixed = lambda old, new: F.when(old.isNull(), new.cast("double")).otherwise(decay * old + (1 - decay) * new)
-        new = F.struct(mixed(s["c"], x["correct"]).alias("c"), mixed(s["t"], x["total"]).alias("t"))
-        return F.transform(F.array(new), lambda n: F.struct(n["c"].alias("c"), n["t"].alias("t"), F.concat(s["out"], F.array(F.struct(x[step].cast("long").alias(step), (n["c"] / n["t"]).alias("ema")))).alias("out")))[0]
-
-    folded = rows.select(task, F.explode(F.aggregate("_steps", start, step_, lambda s: s["out"])).alias("_row"))
-    return folded.select(task, F.col(f"_row.{step}").alias(step), F.col("_row.ema").alias("ema"))
+    @F.pandas_udf("array<double>")
+    def mixed(correct: pd.Series, total: pd.Series) -> pd.Series:
+        out = []
+        for own, all_ in zip(correct, total, strict=True):
+            c = t = None
+            ratios = []
+            for x, n in zip(own, all_, strict=True):
+                c, t = (float(x), float(n)) if c is None else (decay * c + (1 - decay) * x, decay * t + (1 - decay) * n)
+                ratios.append(c / t if t else None)
+            out.append(ratios)
+        return pd.Series(out)
+
+    part = lambda name: F.transform("_steps", lambda s: s[name])
+    folded = rows.select(task, F.explode(F.arrays_zip(part(step).alias("step"), mixed(part("correct"), part("total")).alias("ema"))).alias("_row"))
+    return folded.select(task, F.col("_row.step").cast("long").alias(step), F.col("_row.ema").alias("ema"))
 
 
 def epochs(df: DataFrame, batch: int, rows: int, least: int, task: str = "task", step: str = "step") -> DataFrame:

@@ -1,12 +1,14 @@
 """Per-token algebra over array columns: masked means, scans from the end, divergences and losses.
 
-Arrays of a row have one length. Scans run over the reversed array with a struct of carried values; nothing leaves the JVM.
+Arrays of a row have one length. Scans along a row are Arrow UDFs, linear in its length; all else stays in the JVM.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,45 +26,55 @@ def masked_mean(values: Column, mask: Column, eps: float = 1e-8) -> Column:
     return total(product(values, mask)) / (total(mask) + eps)
 
 
-def reverse_scan(values: Column, zero: Column, step) -> Column:
-    """out[t] = step(out[t + 1], values[t]) from the end; values may be an array of structs."""
-    start = F.struct(zero.alias("last"), F.array().cast("array<double>").alias("out"))
+def _scan(step, zero):
+    """A column function of three arrays: out[t] = value of step(carry, a[t], b[t], c[t]) from the end, in one pass over each row.
 
-    def take(state: Column, x: Column) -> Column:
-        new = step(state["last"], x)
-        return F.transform(F.array(new), lambda n: F.struct(n["carry"].alias("last"), F.concat(F.array(n["value"]), state["out"]).alias("out")))[0]
+    Growing an array inside an aggregate copies it at every step; here a row costs its length. Rows come in Arrow batches.
+    """
 
-    return F.aggregate(F.reverse(values), start, take, lambda s: s["out"])
+    @F.pandas_udf("array<double>")
+    def run(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        out = []
+        for row in zip(a, b, c, strict=True):
+            if any(x is None for x in row):
+                out.append(None)
+                continue
+            carry, values = zero, []
+            for at in zip(*(np.asarray(x, float).tolist()[::-1] for x in row), strict=True):
+                carry, value = step(carry, *at)
+                values.append(value)
+            out.append(values[::-1])
+        return pd.Series(out)
+
+    return run
 
 
 def discounted_returns(rewards: Column, mask: Column, gamma: float) -> Column:
     """Returns from the end with the carry reset where the mask is 0 (W-04)."""
 
-    def step(carry: Column, x: Column) -> Column:
-        value = x["r"].cast("double") + F.lit(float(gamma)) * carry
-        return F.struct((value * x["m"]).alias("carry"), value.alias("value"))
+    def step(carry, r, m, _):
+        value = r + gamma * carry
+        return value * m, value
 
-    return reverse_scan(F.zip_with(rewards, mask, lambda r, m: F.struct(r.alias("r"), m.alias("m"))), F.lit(0.0), step)
+    return _scan(step, 0.0)(rewards, mask, mask)
 
 
 def gae(rewards: Column, values: Column, mask: Column, gamma: float, lam: float) -> Column:
     """Generalised advantages; a masked step keeps the carried value and advantage (W-06), each row for itself."""
-    steps = F.zip_with(F.zip_with(rewards, values, lambda r, v: F.struct(r.cast("double").alias("r"), v.cast("double").alias("v"))), mask, lambda x, m: F.struct(x["r"].alias("r"), x["v"].alias("v"), m.alias("m")))
-    zero = F.struct(F.lit(0.0).alias("next"), F.lit(0.0).alias("gae"))
 
-    def step(carry: Column, x: Column) -> Column:
-        value = x["r"] + gamma * carry["next"] - x["v"] + gamma * lam * carry["gae"]
-        on = x["m"] == 1
-        new = F.struct(F.when(on, x["v"]).otherwise(carry["next"]).alias("next"), F.when(on, value).otherwise(carry["gae"]).alias("gae"))
-        return F.struct(new.alias("carry"), new["gae"].alias("value"))
+    def step(carry, r, v, m):
+        after, last = carry
+        value = r + gamma * after - v + gamma * lam * last
+        new = (v, value) if m == 1 else carry
+        return new, new[1]
 
-    return reverse_scan(steps, zero, step)
+    return _scan(step, (0.0, 0.0))(rewards, values, mask)
 
 
 def remax(rewards: Column, mask: Column, baseline: Column) -> tuple[Column, Column]:
     """(advantages, returns) of W-05: the summed reward less the baseline on each valid token; reverse sums of masked rewards."""
     level = total(rewards) - baseline
-    returns = reverse_scan(product(rewards, mask), F.lit(0.0), lambda c, x: F.struct((c + x).alias("carry"), (c + x).alias("value")))
+    returns = _scan(lambda carry, r, m, _: (carry + r * m, carry + r * m), 0.0)(rewards, mask, mask)
     return F.transform(mask, lambda m: m * level), returns
 
 
@@ -172,7 +184,12 @@ def response_mask(ids: Column, stops: list[int]) -> Column:
 
 def position_ids(mask: Column) -> Column:
     """Running sum of the mask less 1, at least 0 (P-28)."""
-    return F.transform(mask, lambda m, i: F.greatest(F.aggregate(F.slice(mask, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x) - 1, F.lit(0)))
+
+    @F.pandas_udf("array<int>")
+    def run(masks: pd.Series) -> pd.Series:
+        return pd.Series([None if m is None else np.maximum(np.cumsum(m) - 1, 0).tolist() for m in masks])
+
+    return run(mask)
 
 
 def spread(value: Column, mask: Column) -> Column:

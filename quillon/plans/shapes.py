@@ -18,24 +18,12 @@ from .registry import query
 from .views import RESPONSES, responses, table
 
 
-@query("mcq_lookup", """WITH l AS (SELECT l_orderkey * 10000 + l_partkey % 10000 AS rid, max(l_partkey % 50) AS k, max(l_linenumber) AS want FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY 1),
-r AS (SELECT p_partkey % 60 AS k, p_partkey AS part, p_size % 7 AS mark FROM part WHERE p_partkey < 90 AND p_partkey % 60 <> 7),
-j AS (SELECT rid, l.k, want, part, mark, count(part) OVER w AS n, sum(CASE WHEN mark = want THEN 1 ELSE 0 END) OVER w AS hits, row_number() OVER (PARTITION BY rid ORDER BY CASE WHEN mark = want THEN 1 ELSE 0 END DESC, part, mark) AS rk FROM l LEFT JOIN r ON l.k = r.k WINDOW w AS (PARTITION BY rid)),
-s AS (SELECT *, CASE WHEN n = 0 THEN 'missing' WHEN n = 1 OR hits = 1 THEN 'matched' ELSE 'ambiguous' END AS status FROM j WHERE rk = 1)
-SELECT rid, status, CASE WHEN status = 'matched' THEN part END AS part FROM s""")
-def mcq_lookup(spark, folder):
-    li = table(spark, folder, "lineitem").where("l_orderkey % 5 = 0")
-    left = li.groupBy((F.col("l_orderkey") * 10000 + F.col("l_partkey") % 10000).alias("rid")).agg(F.max(F.col("l_partkey") % 50).alias("k"), F.max("l_linenumber").alias("want"))
-    right = table(spark, folder, "part").where("p_partkey < 90 and p_partkey % 60 <> 7").select((F.col("p_partkey") % 60).alias("k"), F.col("p_partkey").alias("part"), (F.col("p_size") % 7).alias("mark"))
-    return J.disambiguated(left, right, "k", "rid", F.col("mark") == F.col("want")).select("rid", "status", "part")
-
-
-@query("mcq_lookup_all", """WITH l AS (SELECT l_orderkey * 10000 + l_partkey % 10000 AS rid, max(CASE WHEN l_partkey % 3 = 0 THEN l_partkey % 60 ELSE l_partkey * 2 END) AS k, max(l_linenumber) * 7 AS want FROM lineitem GROUP BY 1),
+@query("mcq_lookup", """WITH l AS (SELECT l_orderkey * 10000 + l_partkey % 10000 AS rid, max(CASE WHEN l_partkey % 3 = 0 THEN l_partkey % 60 ELSE l_partkey * 2 END) AS k, max(l_linenumber) * 7 AS want FROM lineitem GROUP BY 1),
 r AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 60 ELSE p_partkey END AS k, p_partkey AS part, p_size AS mark FROM part),
 j AS (SELECT rid, l.k, want, part, mark, count(part) OVER w AS n, sum(CASE WHEN mark = want THEN 1 ELSE 0 END) OVER w AS hits, row_number() OVER (PARTITION BY rid ORDER BY CASE WHEN mark = want THEN 1 ELSE 0 END DESC, part, mark) AS rk FROM l LEFT JOIN r ON l.k = r.k WINDOW w AS (PARTITION BY rid)),
 s AS (SELECT *, CASE WHEN n = 0 THEN 'missing' WHEN n = 1 OR hits = 1 THEN 'matched' ELSE 'ambiguous' END AS status FROM j WHERE rk = 1)
 SELECT rid, status, CASE WHEN status = 'matched' THEN part END AS part FROM s""")
-def mcq_lookup_all(spark, folder):
+def mcq_lookup(spark, folder):
     """All of lineitem against all of part. A third of the parts share 20 keys, which grow with the table; half of the other keys have no part."""
     hot = "CASE WHEN {0} % 3 = 0 THEN {0} % 60 ELSE {0} * {1} END"
     left = table(spark, folder, "lineitem").groupBy((F.col("l_orderkey") * 10000 + F.col("l_partkey") % 10000).alias("rid")).agg(F.max(F.expr(hot.format("l_partkey", 2))).alias("k"), (F.max("l_linenumber") * 7).alias("want"))
