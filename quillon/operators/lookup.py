@@ -50,8 +50,8 @@ def by_answer_or_prompt(predictions: DataFrame, source: DataFrame, pattern: str
 
 
 def with_fallback_pool(df: DataFrame, pools: DataFrame, key: str, pool: str, everything: str = "all") -> DataFrame:
-    """The pool of a row's key, else the one named ``everything`` (J-05)."""
-    rest = pools.where(F.col(key) == everything).select(F.col(pool).alias("_rest"))  # one row
+    """The pool of a row's key, else the one named ``everything`` (J-05), null without that one."""
+    rest = pools.where(F.col(key) == everything).agg(F.max(pool).alias("_rest"))  # always one row
     return df.join(pools.where(F.col(key) != everything), key, "left").crossJoin(F.broadcast(rest)).withColumn(pool, F.coalesce(pool, "_rest")).drop("_rest")
 
 

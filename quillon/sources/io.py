@@ -63,8 +63,18 @@ def parse_log(text: Column) -> Column:
 
 
 def decode_truth(raw: Column) -> Column:
-    """JSON text as it is; single-quoted literals as JSON; anything else as a JSON string (S-10)."""
-    as_json = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.replace(raw, F.lit("'"), F.lit('"')), r"\bNone\b", "null"), r"\bTrue\b", "true"), r"\bFalse\b", "false")
+    """JSON text as it is; literals with single quotes, None, True and False as JSON; anything else as a JSON string (S-10).
+
+    Words and quotes inside a string stay: the text is cut into strings and what is between them, and each is rewritten alone.
+    """
+    parts = F.regexp_extract_all(raw, F.lit(r"""\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|[^'\"]+|['\"]"""), F.lit(0))
+
+    def part(x: Column) -> Column:
+        inner = F.replace(F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit("\\'"), F.lit("'")), F.lit('"'), F.lit('\\"'))
+        words = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\bNone\b", "null"), r"\bTrue\b", "true"), r"\bFalse\b", "false")
+        return F.when(x.startswith("'") & (F.length(x) > 1), F.concat(F.lit('"'), inner, F.lit('"'))).when(x.startswith('"'), x).otherwise(words)
+
+    as_json = F.array_join(F.transform(parts, part), "")
     return F.when(F.try_parse_json(raw).isNotNull(), raw).when(F.try_parse_json(as_json).isNotNull(), as_json).otherwise(F.to_json(F.array(raw)))
 
 
