@@ -134,7 +134,9 @@ def batches(df: DataFrame, size: int, epochs: int, seed: int | None, rows: int)
         placed = each.withColumn("_at", F.col(POS))
     else:
         key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), F.col(POS).cast("string")))
-        placed = each.withColumn("_at", F.row_number().over(Window.partitionBy("epoch").orderBy(key, POS)) - 1)
+        from .sampling import ranked  # which needs positions
+
+        placed = ranked(each, key, POS, ["epoch"]).withColumn("_at", F.col("_rank") - 1).drop("_rank", "_total")
     return placed.withColumn("batch", F.floor(F.col("_at") / size).cast("int")).withColumn("place", (F.col("_at") % size).cast("int")).where(F.col("batch") < rows // size).drop("_at")
 
 

@@ -7,16 +7,39 @@ task rank its rows alone. Ties are broken by the key.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .frames import with_positions
+
+DIGITS = 3  # of a draw that name its bucket: 4096 buckets a group
+
 
 def draw(seed: int, op: str, *keys: str | Column) -> Column:
     """The hash that orders a draw."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(op), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]))
 
 
+def ranked(df: DataFrame, drawn: Column, key: str, by: Sequence[str] = ()) -> DataFrame:
+    """``_rank`` (from 1) of each row by a hashed draw within ``by``, and ``_total``, the rows of its group; no group lands in one task.
+
+    A draw is a hash, so its first digits cut a group into buckets of about equal size. Rows are numbered within a bucket;
+    what comes before it is a sum over the counts of buckets, at most 4096 a group. Nulls in ``by`` are a group of their own.
+    """
+    parts = [*by, "_bucket"]
+    keyed = df.withColumn("_draw", drawn).withColumn("_bucket", F.substring("_draw", 1, DIGITS))
+    group = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = keyed.groupBy(*parts).agg(F.count("*").alias("_n")).withColumn("_before", before).withColumn("_total", F.sum("_n").over(group))
+    counts = counts.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(parts)], "_before", "_total")
+    own = keyed.withColumn("_own", F.row_number().over(Window.partitionBy(*parts).orderBy("_draw", key)))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(parts)])
+    return own.join(counts, same).withColumn("_rank", F.col("_before") + F.col("_own")).drop("_draw", "_bucket", "_own", "_before", *[f"_by{i}" for i in range(len(parts))])
+
+
 def parse_ratios(text: str) -> tuple[float, float, float]:
     """Three ratios, separated by commas, colons or slashes, scaled to sum to 1 (L-02)."""
     parts = [float(x) for x in text.replace(":", ",").replace("/", ",").split(",") if x.strip()]
@@ -30,52 +53,45 @@ def split_by_group(df: DataFrame, group: str, seed: int, ratios: tuple[float, fl
 
     Groups are far fewer than rows; only they are ranked, then joined back.
     """
-    groups = df.select(group).distinct()
-    everything = Window.partitionBy()
-    ranked = groups.withColumn("_rank", F.row_number().over(everything.orderBy(draw(seed, "split", group), group))).withColumn("_n", F.count("*").over(everything))
-    train, val = F.floor(F.col("_n") * ratios[0]), F.floor(F.col("_n") * ratios[1])
-    parts = ranked.select(F.col(group).alias("_group"), F.when(F.col("_rank") <= train, "train").when(F.col("_rank") <= train + val, "val").otherwise("test").alias("split"))
+    groups = ranked(df.select(group).distinct(), draw(seed, "split", group), group)
+    train, val = F.floor(F.col("_total") * ratios[0]), F.floor(F.col("_total") * ratios[1])
+    parts = groups.select(F.col(group).alias("_group"), F.when(F.col("_rank") <= train, "train").when(F.col("_rank") <= train + val, "val").otherwise("test").alias("split"))
     return df.join(parts, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
 
 
-def _by_label(label: str, order: Column, key: str) -> Window:
-    return Window.partitionBy(label).orderBy(order, key)
-
-
 def fewshot_by_ratio(df: DataFrame, label: str, key: str, seed: int, ratio: float) -> DataFrame:
     """A balanced share of the rows (L-03): round-half-even(rows * ratio), one at least, in equal quotas.
 
     The remainder goes to the first labels of a hashed order; a label that has fewer rows isn't filled up from others.
     """
-    labels = df.where(F.col(label).isNotNull()).select(label).distinct()
-    total = df.agg(F.greatest(F.bround(F.count("*") * F.lit(ratio), 0), F.lit(1)).cast("long").alias("_target"))
-    everything = Window.partitionBy()
-    ranked = labels.withColumn("_place", F.row_number().over(everything.orderBy(draw(seed, "label", label), label))).withColumn("_labels", F.count("*").over(everything)).crossJoin(F.broadcast(total))  # one row
-    quota = ranked.select(F.col(label).alias("_label"), (F.floor(F.col("_target") / F.col("_labels")) + F.when(F.col("_place") <= F.col("_target") % F.col("_labels"), 1).otherwise(0)).alias("_quota"))
-    own = df.where(F.col(label).isNotNull()).withColumn("_rank", F.row_number().over(_by_label(label, draw(seed, "fewshot", key), key)))
-    return own.join(quota, F.col(label) == F.col("_label")).where(F.col("_rank") <= F.col("_quota")).drop("_rank", "_label", "_quota")
+    known = df.where(F.col(label).isNotNull())
+    target = df.agg(F.greatest(F.bround(F.count("*") * F.lit(ratio), 0), F.lit(1)).cast("long").alias("_target"))
+    labels = ranked(known.select(label).distinct(), draw(seed, "label", label), label).crossJoin(F.broadcast(target))  # one row
+    quota = labels.select(F.col(label).alias("_label"), (F.floor(F.col("_target") / F.col("_total")) + F.when(F.col("_rank") <= F.col("_target") % F.col("_total"), 1).otherwise(0)).alias("_quota"))
+    own = ranked(known, draw(seed, "fewshot", key), key, [label])
+    return own.join(quota, F.col(label) == F.col("_label")).where(F.col("_rank") <= F.col("_quota")).drop("_rank", "_total", "_label", "_quota")
 
 
 def kshot(df: DataFrame, label: str, key: str, seed: int, k: int, strict: bool = True) -> DataFrame:
-    """k rows of each label (L-04); strict: a label with fewer is an error."""
-    ranked = df.withColumn("_rank", F.row_number().over(_by_label(label, draw(seed, "kshot", key), key)))
-    if strict:
-        ranked = ranked.withColumn("_n", F.count("*").over(Window.partitionBy(label)))
-        ranked = ranked.where(F.assert_true(F.col("_n") >= k, F.concat(F.lit("too few rows of label "), F.col(label).cast("string"))).isNull()).drop("_n")
-    return ranked.where(F.col("_rank") <= k).drop("_rank")
+    """k rows of each label (L-04); strict: a label with fewer is an error. Tasks keep k rows of a label before they shuffle."""
+    by_label = Window.partitionBy(label)
+    kept = df.withColumn("_rank", F.row_number().over(by_label.orderBy(draw(seed, "kshot", key), key))).where(F.col("_rank") <= k).drop("_rank")
+    if not strict:
+        return kept
+    counted = kept.withColumn("_n", F.count("*").over(by_label))  # k rows at most
+    return counted.where(F.assert_true(F.col("_n") >= k, F.concat(F.lit("too few rows of label "), F.col(label).cast("string"))).isNull()).drop("_n")
 
 
 def kshot_and_rest(df: DataFrame, label: str, key: str, seed: int, k: int) -> DataFrame:
     """split: k rows of each label are train, the others test (L-05)."""
-    ranked = df.withColumn("_rank", F.row_number().over(_by_label(label, draw(seed, "kshot", key), key)))
-    return ranked.withColumn("split", F.when(F.col("_rank") <= k, "train").otherwise("test")).drop("_rank")
+    return ranked(df, draw(seed, "kshot", key), key, [label]).withColumn("split", F.when(F.col("_rank") <= k, "train").otherwise("test")).drop("_rank", "_total")
 
 
 def mini(df: DataFrame, label: str, key: str, seed: int, total: int) -> DataFrame:
     """About ``total`` rows: max(1, round(total / labels)) of each label (L-06)."""
     labels = df.select(F.count_distinct(label).alias("_labels"))
-    ranked = df.withColumn("_rank", F.row_number().over(_by_label(label, draw(seed, "mini", key), key)))
-    return ranked.crossJoin(F.broadcast(labels)).where(F.col("_rank") <= F.greatest(F.lit(1), F.bround(F.lit(total) / F.col("_labels"), 0))).drop("_rank", "_labels")
+    own = ranked(df, draw(seed, "mini", key), key, [label]).crossJoin(F.broadcast(labels))  # one row
+    return own.where(F.col("_rank") <= F.greatest(F.lit(1), F.bround(F.lit(total) / F.col("_labels"), 0))).drop("_rank", "_total", "_labels")
 
 
 def apportion(total: int, weights: Sequence[float]) -> list[int]:
@@ -91,8 +107,15 @@ def apportion(total: int, weights: Sequence[float]) -> list[int]:
 
 
 def sample(df: DataFrame, key: str, seed: int, op: str, n: int) -> DataFrame:
-    """n rows without replacement, as a top-n by hash, which Spark keeps to n rows a task (L-13)."""
-    return df.withColumn("_draw", draw(seed, op, key)).orderBy("_draw", key).limit(n).drop("_draw")
+    """n rows without replacement, the first by hash (L-13), in any number of tasks: nothing is limited to one.
+
+    Only the buckets of the hash that the first n rows reach are read on; their counts, 4096 at most, are broadcast.
+    """
+    keyed = df.withColumn("_draw", draw(seed, op, key)).withColumn("_bucket", F.substring("_draw", 1, DIGITS))
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    reached = keyed.groupBy("_bucket").count().withColumn("_before", before).where(F.col("_before") < n).select("_bucket", "_before")
+    near = keyed.join(F.broadcast(reached), "_bucket").withColumn("_own", F.row_number().over(Window.partitionBy("_bucket").orderBy("_draw", key)))
+    return near.where((F.col("_own") <= n) & (F.col("_before") + F.col("_own") <= n)).select(*df.columns)
 
 
 def mix(inputs: Sequence[tuple[str, DataFrame]], key: str, weights: Sequence[float], total: int, seed: int) -> DataFrame:
@@ -108,9 +131,9 @@ def oversample(df: DataFrame, key: str, seed: int, op: str, n: int, rows: int) -
     """n rows: without replacement where there are enough, else with, where draw i takes the row at a hashed place (L-08)."""
     if n <= rows:
         return sample(df, key, seed, op, n).withColumn("draw", F.lit(None).cast("long"))
-    ranked = df.withColumn("_place", F.row_number().over(Window.partitionBy().orderBy(key)) - 1)  # fewer rows than the n asked for
+    placed = with_positions(df, key).withColumnRenamed("_pos", "_place")
     wanted = df.sparkSession.range(n).select(F.col("id").alias("draw"), F.pmod(F.conv(F.substring(draw(seed, op, F.col("id")), 1, 8), 16, 10).cast("long"), F.lit(rows)).alias("_want"))
-    return wanted.join(ranked, F.col("_want") == F.col("_place")).drop("_want", "_place")
+    return wanted.join(placed, F.col("_want") == F.col("_place")).drop("_want", "_place")
 
 
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
