@@ -87,7 +87,7 @@ def rolling(df: DataFrame, steps: int, task: str = "task", step: str = "step") -
 
 
 def ema(df: DataFrame, decay: float, task: str = "task", step: str = "step") -> DataFrame:
-    """Ratio of exponentially averaged counts after each step (W-16).
+    """Ratio of exponentially averaged counts after each step (W-16); both averages start from 0, so the first step has no more weight than others.
 
     Folded over each task's steps in order; a step is one row however many responses it had, so the list is short.
     """
@@ -97,10 +97,10 @@ def ema(df: DataFrame, decay: float, task: str = "task", step: str = "step") ->
     def mixed(correct: pd.Series, total: pd.Series) -> pd.Series:
         out = []
         for own, all_ in zip(correct, total, strict=True):
-            c = t = None
+            c = t = 0.0
             ratios = []
             for x, n in zip(own, all_, strict=True):
-                c, t = (float(x), float(n)) if c is None else (decay * c + (1 - decay) * x, decay * t + (1 - decay) * n)
+                c, t = decay * c + (1 - decay) * x, decay * t + (1 - decay) * n
                 ratios.append(c / t if t else None)
             out.append(ratios)
         return pd.Series(out)

@@ -81,7 +81,7 @@ def rolling_task_acc(spark, folder):
 
 
 @query("ema_task_acc", f"""WITH RECURSIVE {STEPS}, n AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY step) AS k FROM steps),
-e AS (SELECT task, step, k, CAST(correct AS DOUBLE) AS c, CAST(total AS DOUBLE) AS t FROM n WHERE k = 1
+e AS (SELECT task, step, k, 0.1 * CAST(correct AS DOUBLE) AS c, 0.1 * CAST(total AS DOUBLE) AS t FROM n WHERE k = 1
  UNION ALL SELECT n.task, n.step, n.k, 0.9 * e.c + 0.1 * n.correct, 0.9 * e.t + 0.1 * n.total FROM e JOIN n ON n.task = e.task AND n.k = e.k + 1)
 SELECT task, CAST(step AS BIGINT) AS step, round(c / t, 6) AS ema FROM e""")
 def ema_task_acc(spark, folder):
