@@ -78,9 +78,12 @@ def kfold(spark, folder):
     return L.expand_folds(L.folds(table(spark, folder, "documents").select("doc_id"), "doc_id", 7, 5), 5).select("doc_id", "fold", "held_out", "role")
 
 
-@query("retention", "SELECT n_nationkey AS step FROM nation WHERE n_nationkey = 10 OR n_nationkey IN (SELECT n_nationkey FROM nation WHERE n_nationkey <> 10 ORDER BY 1 DESC LIMIT 2)")
+@query("retention", """WITH s AS (SELECT DISTINCT date_diff('day', DATE '2020-01-01', CAST(ts AS DATE)) AS step FROM events), b AS (SELECT min(step) AS best FROM s)
+SELECT CAST(step AS BIGINT) AS step FROM s, b WHERE step = best OR step IN (SELECT step FROM s, b WHERE step <> best ORDER BY 1 DESC LIMIT 2)""")
 def retention(spark, folder):
-    return L.retained(table(spark, folder, "nation").select(F.col("n_nationkey").alias("step")), "step", 10, 3)
+    """The days of events as steps; the first one is the best."""
+    days = table(spark, folder, "events").select(F.datediff(F.to_date("ts"), F.lit("2020-01-01").cast("date")).cast("long").alias("step")).distinct()
+    return L.retained(days, "step", days.agg(F.min("step")).first()[0], 3)
 
 
 @query("mixed_index_rule", "SELECT event_id, (event_id % 100) < 30 AS comparative FROM events")
@@ -100,79 +103,113 @@ def top2_per_group(spark, folder):
     return L.top2(e, "uid", "value", "sid").select("uid", "sid", "rank")
 
 
-def _nation(spark, folder):
-    return table(spark, folder, "nation").select(F.col("n_nationkey").cast("long").alias("_pos"), F.col("n_name").alias("name"))
+def _rows(spark, folder):
+    """Customers as a frame, in the order of their keys, and its size."""
+    c = table(spark, folder, "customer")
+    return B.with_positions(c.select("c_custkey", F.col("c_name").alias("name")), "c_custkey").select("_pos", "name"), c.count()
 
 
-N = "n AS (SELECT CAST(n_nationkey AS BIGINT) AS _pos, n_name AS name FROM nation)"
+N = "n AS (SELECT CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS BIGINT) AS _pos, c_name AS name FROM customer), s AS (SELECT CAST(count(*) AS BIGINT) AS size FROM customer)"
+PADDED = "p AS (SELECT _pos, name FROM n UNION ALL SELECT size + _pos, name FROM n, s WHERE _pos < (8 - size % 8) % 8), z AS (SELECT CAST(count(*) AS BIGINT) AS size FROM p)"
+
+
+def _padded(spark, folder):
+    df, size = _rows(spark, folder)
+    return B.pad(df, 8, size), -(-size // 8) * 8
 
 
 @query("repeat_interleave", f"WITH {N} SELECT _pos * 3 + r AS _pos, name FROM n, (SELECT unnest(range(0, 3)) AS r)")
 def repeat_interleave(spark, folder):
-    return B.repeat(_nation(spark, folder), 3, True, 25)
+    df, size = _rows(spark, folder)
+    return B.repeat(df, 3, True, size)
 
 
-@query("repeat_tile", f"WITH {N} SELECT r * 25 + _pos AS _pos, name FROM n, (SELECT unnest(range(0, 3)) AS r)")
+@query("repeat_tile", f"WITH {N} SELECT r * size + _pos AS _pos, name FROM n, s, (SELECT unnest(range(0, 3)) AS r)")
 def repeat_tile(spark, folder):
-    return B.repeat(_nation(spark, folder), 3, False, 25)
+    df, size = _rows(spark, folder)
+    return B.repeat(df, 3, False, size)
 
 
-@query("pad_cycle", f"WITH {N} SELECT _pos, name FROM n UNION ALL SELECT 25 + _pos, name FROM n WHERE _pos < 7")
+@query("pad_cycle", f"WITH {N}, {PADDED} SELECT _pos, name FROM p")
 def pad_cycle(spark, folder):
-    return B.pad(_nation(spark, folder), 8, 25)
+    return _padded(spark, folder)[0]
+
+
+@query("unpad_cycle", f"WITH {N} SELECT _pos, name FROM n")
+def unpad_cycle(spark, folder):
+    df, size = _rows(spark, folder)
+    return B.unpad(B.pad(df, 7, size), size)
 
 
-@query("chunk", f"WITH {N} SELECT _pos, name, CAST(floor(_pos * 5 / 25) AS INTEGER) AS chunk FROM n")
+@query("chunk", f"WITH {N}, {PADDED} SELECT _pos, name, CAST(floor(_pos * 8 / size) AS INTEGER) AS chunk FROM p, z")
 def chunk(spark, folder):
-    return B.chunk(_nation(spark, folder), 5, 25)
+    df, size = _padded(spark, folder)
+    return B.chunk(df, 8, size)
 
 
-@query("split_size", f"WITH {N} SELECT _pos, name, CAST(_pos // 4 AS INTEGER) AS part FROM n")
+@query("split_size", f"WITH {N} SELECT _pos, name, CAST(_pos // 64 AS INTEGER) AS part FROM n")
 def split_size(spark, folder):
-    return B.split(_nation(spark, folder), 4)
+    return B.split(_rows(spark, folder)[0], 64)
 
 
-@query("reorder", f"WITH {N} SELECT (_pos * 7 + 3) % 25 AS _pos, name FROM n")
+def _backwards(spark, size):
+    return spark.range(size).select((F.lit(size - 1) - F.col("id")).alias("new_pos"), F.col("id").alias("old_pos"))
+
+
+@query("reorder", f"WITH {N} SELECT size - 1 - _pos AS _pos, name FROM n, s")
 def reorder(spark, folder):
-    p = spark.range(25).select(((F.col("id") * 7 + 3) % 25).alias("new_pos"), F.col("id").alias("old_pos"))
-    return B.reorder(_nation(spark, folder), p)
+    df, size = _rows(spark, folder)
+    return B.reorder(df, _backwards(spark, size))
 
 
 @query("reorder_restore", f"WITH {N} SELECT _pos, name FROM n")
 def reorder_restore(spark, folder):
-    p = spark.range(25).select(((F.col("id") * 7 + 3) % 25).alias("new_pos"), F.col("id").alias("old_pos"))
-    return B.reorder(B.reorder(_nation(spark, folder), p), B.inverse(p))
+    df, size = _rows(spark, folder)
+    p = _backwards(spark, size)
+    return B.reorder(B.reorder(df, p), B.inverse(p))
 
 
 @query("index_select", f"WITH {N}, w AS (SELECT i - 1 AS _new, [9, 2, 2, 24][i] AS _old FROM (SELECT unnest(range(1, 5)) AS i)) SELECT _new AS _pos, name FROM n JOIN w ON _pos = _old")
 def index_select(spark, folder):
-    return B.take(_nation(spark, folder), [9, 2, 2, 24])
+    return B.take(_rows(spark, folder)[0], [9, 2, 2, 24])
 
 
-@query("slice_select", f"WITH {N} SELECT CAST((_pos - 23) / -3 AS BIGINT) AS _pos, name FROM n WHERE _pos <= 23 AND _pos > 5 AND (23 - _pos) % 3 = 0")
+@query("slice_select", f"WITH {N} SELECT CAST((_pos - (size - 2)) / -3 AS BIGINT) AS _pos, name FROM n, s WHERE _pos <= size - 2 AND _pos > 5 AND (size - 2 - _pos) % 3 = 0")
 def slice_select(spark, folder):
-    return B.cut(_nation(spark, folder), -2, 5, -3, 25)
+    df, size = _rows(spark, folder)
+    return B.cut(df, -2, 5, -3, size)
 
 
-@query("concat_frames", f"WITH {N} SELECT _pos, name FROM n UNION ALL SELECT 25 + CAST(r_regionkey AS BIGINT), r_name FROM region")
+@query("concat_frames", f"WITH {N} SELECT _pos, name FROM n UNION ALL SELECT size + row_number() OVER (ORDER BY s_suppkey) - 1, s_name FROM supplier, s")
 def concat_frames(spark, folder):
-    r = table(spark, folder, "region").select(F.col("r_regionkey").cast("long").alias("_pos"), F.col("r_name").alias("name"))
-    return B.concat([_nation(spark, folder), r])
+    more = B.with_positions(table(spark, folder, "supplier").select("s_suppkey", F.col("s_name").alias("name")), "s_suppkey").select("_pos", "name")
+    return B.concat([_rows(spark, folder)[0], more])
 
 
-@query("union_columns", "SELECT CAST(n_nationkey AS BIGINT) AS _pos, n_name AS name, n_regionkey AS region FROM nation")
+@query("union_columns", "SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS _pos, doc_id, lang, n_chars FROM documents")
 def union_columns(spark, folder):
-    right = table(spark, folder, "nation").select(F.col("n_nationkey").cast("long").alias("_pos"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
-    return B.union_columns(_nation(spark, folder), right)
+    d = table(spark, folder, "documents")
+    left = B.with_positions(d.select("doc_id", "lang"), "doc_id")
+    return B.union_columns(left, B.with_positions(d.select("doc_id", "n_chars"), "doc_id")).select("_pos", "doc_id", "lang", "n_chars")
 
 
-@query("mini_batches", """WITH e AS (SELECT CAST(n_nationkey AS BIGINT) AS p, epoch FROM nation, (SELECT unnest(range(0, 2)) AS epoch)),
+@query("mini_batches", f"""WITH {N}, e AS (SELECT _pos AS p, epoch, size FROM n, s, (SELECT unnest(range(0, 2)) AS epoch)),
 r AS (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY md5(concat_ws('|', '7', CAST(epoch AS VARCHAR), CAST(p AS VARCHAR))), p) - 1 AS at_ FROM e)
-SELECT p AS _pos, CAST(epoch AS INTEGER) AS epoch, CAST(at_ // 4 AS INTEGER) AS batch, CAST(at_ % 4 AS INTEGER) AS place FROM r WHERE at_ // 4 < 6""")
+SELECT p AS _pos, CAST(epoch AS INTEGER) AS epoch, CAST(at_ // 64 AS INTEGER) AS batch, CAST(at_ % 64 AS INTEGER) AS place FROM r WHERE at_ // 64 < size // 64""")
 def mini_batches(spark, folder):
-    return B.batches(_nation(spark, folder), 4, 2, 7, 25).select("_pos", "epoch", "batch", "place")
+    df, size = _rows(spark, folder)
+    return B.batches(df, 64, 2, 7, size).select("_pos", "epoch", "batch", "place")
 
 
-@query("fold_batch", "SELECT CAST(n_nationkey // 5 AS BIGINT) AS _pos, string_agg(n_name, ',' ORDER BY n_nationkey) AS name FROM nation GROUP BY 1")
+@query("fold_batch", f"WITH {N}, {PADDED} SELECT CAST(_pos * 8 // size AS BIGINT) AS _pos, string_agg(name, ',' ORDER BY _pos) AS name FROM p, z GROUP BY 1")
 def fold_batch(spark, folder):
-    return B.fold(_nation(spark, folder), 5, 25, "name").select("_pos", F.array_join("name", ",").alias("name"))
+    df, size = _padded(spark, folder)
+    return B.fold(df, 8, size, "name").select("_pos", F.array_join("name", ",").alias("name"))
+
+
+@query("frame_columns", f"WITH {N} SELECT _pos, name AS title FROM n")
+def frame_columns(spark, folder):
+    """Select, rename and pop on a frame."""
+    df = _rows(spark, folder)[0].withColumn("spare", F.lit(1))
+    popped, rest = B.Frame(df, {}).pop(["spare"])
+    return rest.rename(["name"], ["title"]).select(["title"]).df

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ from ..operators import validate as V
 from ..sources import io as S
 from ..streaming import online as O
 from .registry import query
-from .views import RESPONSES, responses, table
+from .views import RESPONSES, STEPS, responses, scratch, table
 
 
 @query("mcq_lookup", """WITH l AS (SELECT l_orderkey * 10000 + l_partkey % 10000 AS rid, max(CASE WHEN l_partkey % 3 = 0 THEN l_partkey % 60 ELSE l_partkey * 2 END) AS k, max(l_linenumber) * 7 AS want FROM lineitem GROUP BY 1),
@@ -125,34 +124,66 @@ def log_import(spark, folder):
     return df.select("sid", "r.prompt", "r.output", "r.ground_truth", F.when(F.isnan("r.score"), -1.0).otherwise(F.col("r.score")).alias("score"))
 
 
+BATCH = 64  # documents of a batch, by id: batches grow in number with the table, not in size
+
+
 def _batches(spark, folder):
-    return table(spark, folder, "documents").select((F.col("doc_id") % 16).alias("batch"), "doc_id", F.col("n_chars").cast("long").alias("length"))
+    return table(spark, folder, "documents").select(F.floor(F.col("doc_id") / BATCH).alias("batch"), "doc_id", F.coalesce("n_chars", F.lit(0)).cast("long").alias("length"))
+
+
+LENGTHS = f"b AS (SELECT CAST(doc_id // {BATCH} AS BIGINT) AS batch, doc_id, CAST(coalesce(n_chars, 0) AS BIGINT) AS length FROM documents)"
+
+
+def _summed(parts):
+    """Per batch: rows, parts, sum of lengths, and whether the heaviest part exceeds the lightest by no more than the longest row."""
+    sums = parts.groupBy("batch", "part").agg(F.count("*").alias("n"), F.sum("length").alias("s"), F.max("length").alias("m"))
+    return sums.groupBy("batch").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.sum("s").alias("total"), (F.max("s") - F.min("s") <= F.max("m")).alias("even"))
 
 
-@query("kk_partitions")
+@query("kk_partitions", f"WITH {LENGTHS} SELECT batch, count(*) AS n, least(8, count(*)) AS parts, CAST(sum(length) AS BIGINT) AS total, true AS even FROM b GROUP BY batch")
 def kk_partitions(spark, folder):
-    return Q.partition(_batches(spark, folder), "batch", "doc_id", "length", 8)
+    """What must hold of any even partition; tests compare the parts themselves with the best ones."""
+    return _summed(Q.partition(_batches(spark, folder), "batch", "doc_id", "length", 8))
 
 
-@query("micro_batches")
+@query("micro_batches", f"WITH {LENGTHS} SELECT batch, count(*) AS n, greatest(1, least(count(*), CAST(ceil(sum(length) / 4000.0) AS BIGINT))) AS parts, CAST(sum(length) AS BIGINT) AS total, true AS even FROM b GROUP BY batch")
 def micro_batches(spark, folder):
-    return Q.micro_batches(_batches(spark, folder), "batch", "doc_id", "length", 40000)
+    return _summed(Q.micro_batches(_batches(spark, folder), "batch", "doc_id", "length", 4000))
 
 
-@query("imbalance_before", """WITH b AS (SELECT doc_id % 16 AS batch, n_chars AS length, row_number() OVER (PARTITION BY doc_id % 16 ORDER BY doc_id) - 1 AS at_, count(*) OVER (PARTITION BY doc_id % 16) AS n FROM documents),
-s AS (SELECT batch, at_ // greatest(1, n // 8) AS run, CAST(sum(length) AS BIGINT) AS s FROM b GROUP BY 1, 2) SELECT batch, min(s) AS least, max(s) AS most, round(avg(s), 6) AS mean FROM s GROUP BY batch""")
+@query("part_faults", f"WITH {LENGTHS} SELECT batch FROM b GROUP BY batch HAVING count(*) < 8")
+def part_faults(spark, folder):
+    """Batches whose parts aren't 0 to 7: those of fewer than eight rows."""
+    return Q.check_parts(Q.partition(_batches(spark, folder), "batch", "doc_id", "length", 8), "batch", "part", 8).select("batch")
+
+
+@query("imbalance_before", f"""WITH {LENGTHS}, o AS (SELECT batch, length, row_number() OVER (PARTITION BY batch ORDER BY doc_id) - 1 AS at_, count(*) OVER (PARTITION BY batch) AS n FROM b),
+s AS (SELECT batch, at_ // greatest(1, n // 8) AS run, CAST(sum(length) AS BIGINT) AS s FROM o GROUP BY 1, 2) SELECT batch, min(s) AS least, max(s) AS most, round(avg(s), 6) AS mean FROM s GROUP BY batch""")
 def imbalance_before(spark, folder):
     return Q.imbalance_in_order(_batches(spark, folder), "batch", "doc_id", "length", 8).withColumn("mean", F.round("mean", 6))
 
 
+def _event_stream(spark, folder):
+    return spark.readStream.schema(table(spark, folder, "events").schema).option("pathGlobFilter", "events.parquet" if not folder.endswith("parquet") else "*").parquet(folder)
+
+
 @query("stream_task_counts", "SELECT event_type AS task, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1")
 def stream_task_counts(spark, folder):
-    static = table(spark, folder, "events")
-    stream = spark.readStream.schema(static.schema).option("pathGlobFilter", "events.parquet" if not folder.endswith("parquet") else "*").parquet(folder)
     name = f"stream_task_counts_{uuid.uuid4().hex}"
-    counted = O.counts(stream.select(F.col("event_type").alias("task"), "value"), "task")
-    with tempfile.TemporaryDirectory() as checkpoint:
-        conf = spark.conf.get("spark.checkpoint.dir", None)
-        at = f"{conf}/streams/{name}" if conf else checkpoint
-        counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    counted = O.counts(_event_stream(spark, folder).select(F.col("event_type").alias("task"), "value"), "task")
+    counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
     return spark.table(name).select("task", "n", F.round("mean", 6).alias("mean"))
+
+
+@query("stream_task_curves", f"""WITH RECURSIVE {STEPS}, n AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY step) AS k FROM steps),
+e AS (SELECT task, step, k, 0.1 * CAST(correct AS DOUBLE) AS c, 0.1 * CAST(total AS DOUBLE) AS t FROM n WHERE k = 1
+ UNION ALL SELECT n.task, n.step, n.k, 0.9 * e.c + 0.1 * n.correct, 0.9 * e.t + 0.1 * n.total FROM e JOIN n ON n.task = e.task AND n.k = e.k + 1),
+w AS (SELECT task, step, total, sum(correct) OVER w / sum(total) OVER w AS acc FROM steps WINDOW w AS (PARTITION BY task ORDER BY step ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
+SELECT task, CAST(step AS BIGINT) AS step, CAST(total AS BIGINT) AS total, round(acc, 6) AS rolling_acc, round(c / t, 6) AS ema FROM w JOIN e USING (task, step)""")
+def stream_task_curves(spark, folder):
+    """Counts by task and day kept by a stream, and the curves that they give."""
+    kept = scratch(spark, "steps")
+    day = F.datediff(F.to_date("ts"), F.lit("2020-01-01").cast("date")).cast("long")
+    rows = _event_stream(spark, folder).select(F.col("event_type").alias("task"), day.alias("step"), (F.col("value") > 60).alias("correct"))
+    O.each_batch(rows, scratch(spark, "stream"), O.step_counts(kept)).awaitTermination()
+    return O.task_curves(spark, kept, 0.9, 5).select("task", "step", "total", F.round("rolling_acc", 6).alias("rolling_acc"), F.round("ema", 6).alias("ema"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +15,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path that driver and executors share: below spark.checkpoint.dir; a temporary one in local mode only."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="quillon-")
+        atexit.register(shutil.rmtree, shared, True)
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def rollouts(spark: SparkSession, folder: str) -> DataFrame:
     """A row per sampled response: group uid, id sid, task, score and a 0/1 correctness."""
     e = table(spark, folder, "events")

@@ -6,6 +6,7 @@ use complete mode; time plays no role, so there is no watermark.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as X
+from ..operators import metrics as M
 from ..operators import sampling as L
 from ..operators.reshape import first_filled
 
@@ -43,6 +45,22 @@ def topped_up(batch: DataFrame, static: DataFrame, key: str, least: int, seed: i
     return batch if missing <= 0 else batch.unionByName(L.sample(static, key, seed, f"top-{epoch}", missing).select(*batch.columns))
 
 
+def mixed(batch: DataFrame, static: DataFrame, key: str, probability: float, seed: int, epoch: int) -> DataFrame:
+    """A micro-batch with rows of a static set among its own: ``probability`` of all rows on average, none of its own lost (X-02).
+
+    A row draws from the static set with the given probability before each of its own is taken, so rows * p / (1 - p) are
+    added, the remainder by a hashed coin. An empty batch stays empty; ``topped_up`` fills that. More rows than the static set
+    has are taken with replacement.
+    """
+    if not 0 <= probability < 1:
+        raise ValueError("a probability of at least 0 and less than 1 is needed")
+    wanted = batch.count() * probability / (1 - probability)
+    coin = int(hashlib.md5(f"{seed}|mixed|{epoch}".encode()).hexdigest()[:8], 16) / 2**32
+    n = int(wanted) + (coin < wanted - int(wanted))
+    rows = static.count()
+    return batch if not n or not rows else batch.unionByName(L.oversample(static, key, seed, f"mixed-{epoch}", n, rows).select(*batch.columns))
+
+
 def each_batch(stream: DataFrame, checkpoint: str, act: Callable[[DataFrame, int], None]) -> StreamingQuery:
     """Run ``act`` on every micro-batch that is there now, then stop (X-06, X-08, K-13)."""
     return stream.writeStream.foreachBatch(act).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -53,6 +71,31 @@ def counts(stream: DataFrame, *keys: str) -> DataFrame:
     return stream.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
 
 
+def step_counts(path: str, task: str = "task", step: str = "step", correct: str = "correct") -> Callable[[DataFrame, int], None]:
+    """A sink that keeps correct and total by task and step (X-08): one small folder a micro-batch, replaced where the batch is run again."""
+
+    def act(batch: DataFrame, epoch: int) -> None:
+        counted = batch.groupBy(F.coalesce(F.col(task), F.lit("unknown")).alias("task"), F.col(step).alias("step")).agg(F.coalesce(F.sum(F.col(correct).cast("long")), F.lit(0)).alias("correct"), F.count("*").alias("total"))
+        counted.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+
+    return act
+
+
+def task_curves(spark: SparkSession, path: str, decay: float, window: int) -> DataFrame:
+    """Per task and step what ``step_counts`` kept so far gives: counts, their running averages and rolling sums (X-08).
+
+    A step that came in several micro-batches is one step. ``metrics.epochs`` takes the same counts for closed epochs.
+    """
+    per = counted_steps(spark, path)
+    return M.rolling(per, window).join(M.ema(per, decay), ["task", "step"])
+
+
+def counted_steps(spark: SparkSession, path: str) -> DataFrame:
+    """task, step, correct and total over all micro-batches."""
+    kept = spark.read.schema("task string, step long, correct long, total long").parquet(path)
+    return kept.groupBy("task", "step").agg(F.sum("correct").alias("correct"), F.sum("total").alias("total"))
+
+
 def feedback(path: str, choose: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """A sink that overwrites one small table with what ``choose`` finds; the last batch wins (X-04)."""
 

@@ -127,6 +127,31 @@ def test_stream(spark, tmp_path):
     assert [r["prompt"] for r in spark.read.parquet(out).collect()] == ["new"]
 
 
+def test_curves_of_a_stream(spark, tmp_path):
+    """Counts by hand over two micro-batches, one of which is run twice."""
+    path = str(tmp_path / "steps")
+    keep = O.step_counts(path)
+    make = lambda rows: spark.createDataFrame(rows, "task string, step long, correct boolean")
+    keep(make([("a", 1, True), ("a", 1, False), ("a", 2, True), (None, 1, None)]), 0)
+    keep(make([("a", 2, False), ("a", 3, True)]), 1)
+    keep(make([("a", 2, False), ("a", 3, True)]), 1)
+    got = {(r["task"], r["step"]): r for r in O.task_curves(spark, path, 0.5, 2).collect()}
+    assert {k: (r["correct"], r["total"]) for k, r in got.items()} == {("a", 1): (1, 2), ("a", 2): (1, 2), ("a", 3): (1, 1), ("unknown", 1): (0, 1)}
+    assert got["a", 3]["rolling_acc"] == pytest.approx(2 / 3)
+    assert got["a", 3]["ema"] == pytest.approx((1 / 8 + 1 / 4 + 1 / 2) / (2 / 8 + 2 / 4 + 1 / 2))
+
+
+def test_mixing_by_probability(spark):
+    static = spark.createDataFrame([(i, f"s{i}") for i in range(5)], "id int, prompt string")
+    batch = spark.createDataFrame([(f"b{i}",) for i in range(30)], "prompt string")
+    out = [r["prompt"] for r in O.mixed(batch, static, "id", 0.25, 1, 0).collect()]
+    assert sorted(p for p in out if p[0] == "b") == sorted(f"b{i}" for i in range(30)) and len(out) == 40
+    assert O.mixed(batch, static, "id", 0.0, 1, 0).count() == 30 == O.mixed(batch, static.where("false"), "id", 0.5, 1, 0).count()
+    assert O.mixed(batch.where("false"), static, "id", 0.5, 1, 0).count() == 0
+    with pytest.raises(ValueError):
+        O.mixed(batch, static, "id", 1.0, 1, 0)
+
+
 def test_until_enough(spark):
     make = lambda k: spark.createDataFrame([(10 * k, 1)], "uid int, x int")
     assert O.until_enough(make, lambda d: d, 2, 5).count() == 2
