@@ -97,15 +97,22 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False, overwrite: bool
 
 
 def replace_table(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Write beside, then rename (K-04): a path is never read and overwritten by one job."""
+    """Write beside, then rename twice (K-04): a path is never read and overwritten by one job, and its old rows stay until the new ones are there.
+
+    A crash between the renames leaves both tables beside the path, as .old and .staging; the next call starts from .old then.
+    """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    staging = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".staging")
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    target, staging, old = (jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + end) for end in ("", ".staging", ".old"))
     fs = target.getFileSystem(conf)
+    if fs.exists(old) and not fs.exists(target):
+        fs.rename(old, target)
     df.write.mode("overwrite").parquet(staging.toString())
-    fs.delete(target, True)
+    fs.delete(old, True)
+    if fs.exists(target) and not fs.rename(target, old):
+        raise OSError(f"{target} could not be moved aside")
     if not fs.rename(staging, target):
         raise OSError(f"{staging} could not be renamed to {target}")
+    fs.delete(old, True)
 
 
 def write_split(df: DataFrame, path: str, column: str) -> None:

@@ -152,6 +152,17 @@ def test_mixing_by_probability(spark):
         O.mixed(batch, static, "id", 1.0, 1, 0)
 
 
+def test_a_table_survives_a_crash_while_replaced(spark, tmp_path):
+    path = str(tmp_path / "t")
+    S.replace_table(spark, spark.range(3), path)
+    S.replace_table(spark, spark.read.parquet(path).where("id > 0"), path)
+    assert sorted(r[0] for r in spark.read.parquet(path).collect()) == [1, 2]
+    (tmp_path / "t").rename(tmp_path / "t.old")  # as if stopped between the renames
+    S.replace_table(spark, spark.range(7, 8), path)
+    assert [r[0] for r in spark.read.parquet(path).collect()] == [7]
+    assert not (tmp_path / "t.old").exists() and not (tmp_path / "t.staging").exists()
+
+
 def test_until_enough(spark):
     make = lambda k: spark.createDataFrame([(10 * k, 1)], "uid int, x int")
     assert O.until_enough(make, lambda d: d, 2, 5).count() == 2
