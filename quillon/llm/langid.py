@@ -55,19 +55,34 @@ def codebook(k: int) -> np.ndarray:
 def grams(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows low to high, the bucket of the n-gram at each place, and where each text's begin (n + 1).
 
-    Texts are lower-cased and parted by a space, so that a short text has n-grams too.
+    Texts are lower-cased and followed by spaces, so that a short text has n-grams too. None reaches into the next text: those
+    that start in the spaces are BLANK.
     """
     folded = pc.binary_join_element_wise(pc.utf8_lower(column.fill_null("")), pa.scalar(" " * (GRAM - 1)), "")
     data, offsets = text_buffer(folded)
     for low, high in chunks(offsets, 4 << 20):
-        part = np.append(data[offsets[low] : offsets[high]], np.full(GRAM - 1, 32, np.uint8)).astype(np.uint32)
-        n = len(part) - GRAM + 1
-        mixed = part[:n] * _MULTIPLY[0]
+        part = np.append(data[offsets[low] : offsets[high]], np.full(GRAM - 1, 32, np.uint8))
+        bucket = hashed(part)
+        ends = offsets[low + 1 : high + 1] - offsets[low]
         for k in range(1, GRAM):
-            mixed += part[k : n + k] * _MULTIPLY[k]
-        mixed ^= mixed >> np.uint32(15)
-        mixed *= np.uint32(2654435769)
-        yield low, high, (mixed >> np.uint32(16)).astype(np.int32), offsets[low : high + 1] - offsets[low]
+            bucket[ends - k] = BLANK
+        yield low, high, bucket, offsets[low : high + 1] - offsets[low]
+
+
+def hashed(data: np.ndarray) -> np.ndarray:
+    """The bucket of each n-gram of bytes."""
+    part = data.astype(np.uint32)
+    n = len(part) - GRAM + 1
+    mixed = part[:n] * _MULTIPLY[0]
+    for k in range(1, GRAM):
+        mixed += part[k : n + k] * _MULTIPLY[k]
+    mixed ^= mixed >> np.uint32(15)
+    mixed *= np.uint32(2654435769)
+    return (mixed >> np.uint32(16)).astype(np.int32)
+
+
+#: The bucket of spaces alone, which say nothing of a language.
+BLANK = int(hashed(np.full(GRAM, 32, np.uint8))[0])
 
 
 @dataclass
@@ -131,6 +146,7 @@ def learn(labelled: DataFrame) -> Model | None:
             odds[b] = np.log(table[code[:, b] == 1].mean(axis=0) / table[code[:, b] == -1].mean(axis=0))
         else:
             odds[b] = 1.0
+    odds[:, BLANK] = 0.0
     model = Model(languages, code, odds, np.full(code.shape, 1 / code.shape[1]))
     sample = smallest(rows, F.xxhash64("text"), WEIGHT_DOCS).toArrow().combine_chunks()
     truth = np.array([place[x] for x in sample["lang"].to_pylist()])

@@ -143,6 +143,56 @@ def test_languages(spark):
     assert langid.predict(d.where("false"), model).count() == 0
 
 
+def brute_language(rows, texts, weight):
+    """(language, probability) of each text by counting n-grams one by one; ``weight`` holds the measured weights of bits."""
+
+    def buckets(text):
+        data = text.lower().encode()
+        out = []
+        for i in range(len(data)):
+            gram = (data + b"  ")[i : i + 3]
+            h = sum(b * m for b, m in zip(gram, (2654435761, 2246822519, 3266489917))) % 2**32
+            out.append(((h ^ (h >> 15)) * 2654435769 % 2**32) >> 16)
+        return out
+
+    blank = buckets("   ")[0]
+    names = sorted({k for _, k in rows})
+    table = {k: collections.Counter() for k in names}
+    for text, k in rows:
+        table[k].update(buckets(text) + [blank, blank])
+    sizes = {k: sum(table[k].values()) + 0.5 * 65536 for k in names}
+    share = lambda k, b: (table[k][b] + 0.5) / sizes[k]
+    code = langid.codebook(len(names))
+    out = []
+    for text in texts:
+        own = buckets(text)
+        margins = []
+        for bit in code.T:
+            odds = [math.log(np.mean([share(k, b) for k, s in zip(names, bit) if s == 1]) / np.mean([share(k, b) for k, s in zip(names, bit) if s == -1])) for b in own if b != blank]
+            margins.append(24.0 * sum(odds) / (len(own) + 2))
+        loss = [sum(w * math.log1p(math.exp(-max(-60, min(60, m * c)))) for w, m, c in zip(weight[i], margins, code[i])) for i in range(len(names))]
+        e = [math.exp(-x * math.sqrt(code.shape[1])) for x in loss]
+        out.append((names[int(np.argmax(e))], max(e) / sum(e)))
+    return out
+
+
+def test_languages_by_brute_force(spark):
+    """Counts, margins and decoding by hand; a text's neighbours and the partitions don't matter."""
+    random.seed(16)
+    alphabet = {"aa": "zor mik ta lu", "bb": "éla ñu si ka", "cc": "schü ßa ung ta", "dd": "lu si ung zor"}
+    make = lambda k: " ".join("".join(random.choices(alphabet[k].split(), k=2)) for _ in range(random.randint(1, 12)))
+    rows = [(make(k), k) for k in random.choices(list(alphabet), k=80)]
+    model = langid.learn(spark.createDataFrame(rows, "text string, lang string"))
+    texts = [make(k) for k in random.choices(list(alphabet), k=60)] + ["é", "ta   ta", "Zor", "x" * 3000]
+    want = brute_language(rows, texts, model.weight)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for spread in (d.coalesce(1), d.repartition(7), d.orderBy(F.desc("doc_id"))):
+        got = {r["doc_id"]: r for r in langid.predict(spread, model).collect()}
+        for i, (name, p) in enumerate(want):
+            assert got[i]["score"] == pytest.approx(p, abs=1e-3), texts[i]
+            assert got[i]["lang_pred"] == name or abs(got[i]["score"] - 0.5) < 0.01
+
+
 def test_codebooks_correct_errors():
     for k in (2, 3, 4, 5, 9):
         code = langid.codebook(k)
