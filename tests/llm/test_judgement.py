@@ -128,6 +128,43 @@ def test_toxicity_held_out(spark):
     assert toxicity.score(d.where("false"), model).count() == 0
 
 
+def test_toxicity_by_brute_force(spark):
+    """Log-odds from counts by hand, their calibration, and scores from the passages that ``segments`` finds."""
+    rows = [(t, y) for _, t, _, y in corpus(500, 15)]
+    labelled = spark.createDataFrame(rows, "text string, toxic int")
+    model = toxicity.learn(labelled)
+    aside = [r[0] for r in labelled.select(F.pmod(F.xxhash64("text"), F.lit(4)) == 0).collect()]
+    words = lambda text: re.findall("[a-z]+", text.lower())
+    counts = {(kind, y): collections.Counter(x for (t, label), c in zip(rows, aside) if not c and label == y for x in {w[:4] if kind else w for w in words(t)}) for kind in (0, 1) for y in (0, 1)}
+    totals = [sum(counts[1, y].values()) for y in (0, 1)]  # a family counts once a document, as a word does
+
+    def odds(kind, x):
+        other, toxic = counts[kind, 0][x] + 0.5, counts[kind, 1][x] + 0.5
+        raw = math.log(toxic / other) - math.log(totals[1] / totals[0])
+        return math.copysign(max(0.0, abs(raw) - 2.0 * math.sqrt(1 / toxic + 1 / other)), raw)
+
+    def word_score(w):
+        many = counts[0, 0][w] + counts[0, 1][w]
+        weight = many / (many + 5.0)
+        return min(8.0, max(-8.0, weight * odds(0, w) + (1 - weight) * odds(1, w[:4]))) - 1.0
+
+    def by_hand(text):
+        own = [word_score(w) for w in words(text)]
+        found = [x for *_, x in segments(own)]
+        n = max(len(own), 1)
+        base = math.log(model.k * n)
+        evidence = max(model.rate * max(found, default=0.0) - base, sum(max(0.0, model.rate * x - base) for x in found))
+        return 1 / (1 + math.exp(-(model.slope * evidence + model.intercept)))
+
+    texts = [t for _, t, *_ in corpus(60, 77)] + ["", "unseen", "grobnik", "the grobnikly on vilefang " * 9]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs(spark, [(i, t, "en") for i, t in enumerate(texts)]), model).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(by_hand(t), abs=0.01), t
+    clean = [word_score(w) for (t, y), c in zip(rows, aside) if c and not y for w in words(t)]
+    floor = 1e-6 * np.mean([math.exp(model.rate * x) for x in np.linspace(-9, 7, 401)[1:] - 0.02 if x > 0])  # words never seen clean
+    assert model.rate == pytest.approx(3.0) or sum(math.exp(model.rate * x) for x in clean) / len(clean) + floor == pytest.approx(1.0, rel=0.1)
+
+
 def test_languages(spark):
     random.seed(6)
     alphabet = {"aa": ["zor", "mik", "ta"], "bb": ["éla", "ñu", "si"], "cc": ["schü", "ßa", "ung"]}
