@@ -81,7 +81,7 @@ PATTERNS = {
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[0-9A-Z]{11,30}|(?:[ ][0-9A-Z]{4}){2,7}(?:[ ][0-9A-Z]{1,3})?)(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z])(?:(?:[3-6][0-9]{3}|222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720)(?:[ \-]?[0-9]{4}){2}[ \-]?[0-9]{1,4}|3[47][0-9]{2}[ \-][0-9]{6}[ \-][0-9]{5}|3[0689][0-9]{2}[ \-][0-9]{6}[ \-][0-9]{4})(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)[ .\-]?|[0-9]{3}[ .\-])[0-9]{3}[ .\-]?[0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9]{8,15}(?![0-9A-Za-z])" + "".join(f"|(?:{x})" for x in (_ABROAD, _TRUNK, _NINE, _CUED)),
-    "person": rf"(?=[{_INITIALS}])(?<!\p{{L}})(?:(?:{_ALL_HONORIFICS})\.?[ ]{_NAME}(?:[ ]{_NAME})?|(?:{_ALL_GIVEN})[ ]{_NAME}|(?:{_ALL_FAMILY}),[ ](?:{_ALL_GIVEN}))(?!\p{{L}})",
+    "person": rf"(?=[{_INITIALS}])(?<!\p{{L}})(?:(?:(?:{_ALL_HONORIFICS})\.?[ ]){{1,3}}(?!(?:{_ALL_HONORIFICS})(?!\p{{L}})){_NAME}(?:[ ]{_NAME})?|(?:{_ALL_GIVEN})[ ]{_NAME}|(?:{_ALL_FAMILY}),[ ](?:{_ALL_GIVEN}))(?!\p{{L}})",
 }
 KINDS = list(PATTERNS)
 #: Every entity, the type as the number of the group.
@@ -98,7 +98,7 @@ _LOWER, _UPPER, _DIGIT, _HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQR
 _CLASSES = {
     "text": [_DIGIT, _LOWER, _UPPER],
     "secret": [_DIGIT, _LOWER[:6], _LOWER[6:], _UPPER[:6], _UPPER[6:]],
-    "hex": [_HEX, "ABCDEF"],
+    "hex": [_HEX],
     "digits": [_DIGIT],
     "base36": [_DIGIT + _UPPER],
     "name": ["aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "áéíóúàèìòùâêîôûäëïöü", "ÁÉÍÓÚÀÈÌÒÙÂÊÎÔÛÄËÏÖÜ", "ñçß", "ÑÇ", "абвгдежзийклмнопрстуфхцчшщыэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "άέήίόύώ", "ΆΈΉΊΌΎΏ"],
@@ -209,11 +209,14 @@ def surrogate(entity: Column, kind: Column, key: str = KEY) -> Column:
 
     What is to be permuted is taken out of the entity, permuted, and put in its place again:
 
-    * a phone's first digit after the kept ones moves within 1 to 9, so that no number turns into one with a leading 0;
+    * a phone's first digit after the kept ones moves within 1 to 9, so that no number turns into one with a leading 0; a 0
+      there stays, as it would share the image of the 9;
+    * an address of version 6 is permuted in lower case, and is upper case again where it was;
     * a credential's letters a to f stay among themselves, so hexadecimal values stay such and share no image with others;
     * an IBAN's check digits stay as far from the right ones as they were, so a valid number becomes a valid one;
     * in a name, honorifics stay, known names become others, and further ones are permuted, again as long as the
-      result is a known name or honorific (cycle walking), which keeps the whole one to one.
+      result is a known name or honorific (cycle walking), which keeps the whole one to one; a word whose letters are of
+      no class, as Armenian ones, is spelled from a keyed digest in Latin letters, as it could not move.
     """
     known = _known_names(key)
     listed, others = _literals(list(known)), _literals(list(known.values()))
@@ -236,7 +239,7 @@ def surrogate(entity: Column, kind: Column, key: str = KEY) -> Column:
         "key": F.array(job("base36", F.substring(x, 5, 100))),
         "email": F.array(job("text", local, F.lower(host)), job("text", host)),
         "ip": F.array(job("hex", octets)),
-        "ipv6": F.array(job("hex", x)),
+        "ipv6": F.array(job("hex", F.lower(x))),
         "ssn": F.array(job("digits", digits)),
         "iban": F.array(job("text", F.substring(compact, 5, 40))),
         "card": F.array(job("digits", F.substring(digits, F.lit(2), F.length(digits) - 2))),
@@ -250,7 +253,9 @@ def surrogate(entity: Column, kind: Column, key: str = KEY) -> Column:
     def done(j: Column) -> Column:
         def walked(first: Column) -> Column:
             again = lambda w, _: F.when(F.array_contains(reserved, w), permute(w, j["secret"], j["alphabet"])).otherwise(w)
-            return F.when((kind == "person") & F.array_contains(reserved, first), F.aggregate(F.sequence(F.lit(1), F.size(reserved)), first, again)).otherwise(first)
+            spelled = F.concat(F.lit("X"), F.translate(F.substring(F.sha2(F.concat_ws("|", j["secret"], first), 256), 1, 12), _DIGIT, "ghijklmnop"))
+            named = F.when(F.array_contains(reserved, first), F.aggregate(F.sequence(F.lit(1), F.size(reserved)), first, again)).when(first == j["body"], spelled)
+            return F.when(kind == "person", F.coalesce(named, first)).otherwise(first)
 
         return F.when(F.array_contains(reserved, F.rtrim(j["body"], F.lit("."))) & (kind == "person"), j["body"]).otherwise(_let(permute(j["body"], j["secret"], j["alphabet"]), walked))
 
@@ -263,7 +268,8 @@ def surrogate(entity: Column, kind: Column, key: str = KEY) -> Column:
 
         def phone() -> Column:
             by = F.conv(F.substring(F.sha2(F.concat_ws("|", secret, new), 256), 1, 4), 16, 10).cast("int")
-            turn = lambda k: F.concat(F.substring(digits, F.lit(1), k), (F.pmod(F.substring(digits, k + 1, F.lit(1)).cast("int") - 1 + by, F.lit(9)) + 1).cast("string"), new)
+            first = lambda k: F.substring(digits, k + 1, F.lit(1))
+            turn = lambda k: F.concat(F.substring(digits, F.lit(1), k), F.when(first(k) == "0", "0").otherwise((F.pmod(first(k).cast("int") - 1 + by, F.lit(9)) + 1).cast("string")), new)
             return _laid_out(x, _let(_kept_digits(x), turn))
 
         def iban() -> Column:
@@ -282,7 +288,7 @@ def surrogate(entity: Column, kind: Column, key: str = KEY) -> Column:
             "key": F.concat(F.lit("AKIA"), new),
             "email": F.concat(new, F.lit("@"), F.get(p, 1), F.lit("."), top),
             "ip": F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.conv(F.substring(new, i * 2 + 1, F.lit(2)), 16, 10)), "."),
-            "ipv6": new,
+            "ipv6": F.when(x.rlike("[A-F]"), F.upper(new)).otherwise(new),
             "ssn": _laid_out(x, new),
             "iban": iban(),
             "card": card(),
@@ -394,9 +400,13 @@ def mapping(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFram
 
 
 def canonical(value: Column, kind: Column) -> Column:
-    """Entities that are the same up to case, or up to the layout of a number, have one canonical form."""
+    """Entities that are the same up to case, or up to the layout of a number, have one canonical form.
+
+    A phone with a country code and one without are two, even of equal digits: +20 2555 0123 isn't 202 555 0123.
+    """
     number = F.when(kind == "iban", F.replace(value, F.lit(" "), F.lit(""))).otherwise(F.lower(value))
-    return F.when(kind.isin("phone", "card", "ssn"), F.right(_digits(value), F.lit(16))).otherwise(number)
+    digits = F.right(_digits(value), F.lit(16))
+    return F.when(kind.isin("card", "ssn"), digits).when(kind == "phone", F.concat(F.when(value.startswith("+"), "+").otherwise(""), digits)).otherwise(number)
 
 
 def collisions(mapped: DataFrame) -> DataFrame:

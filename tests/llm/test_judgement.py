@@ -426,3 +426,28 @@ def test_forms_of_a_type_share_no_image(spark):
     assert pii.collisions(mapped).collect() == []
     walked = spark.createDataFrame([(n,) for n in ["Dr Ng", "Dr Li", *names]], "e string").select(pii.surrogate(F.col("e"), F.lit("person")).alias("s")).collect()
     assert len({r["s"] for r in walked}) == len(names) + 2
+
+
+def test_phones_after_a_kept_code_stay_distinct(spark):
+    """Every first digit after a country code or a leading 0, a 0 and a 9 among them; equal digits with and without +."""
+    phones = [f"{code}{n}{tail}" for code, tail in (("+1 (", "17) 555-7713"), ("(0", "7) 555-7713"), ("+33 ", " 23 45 67 89"), ("+353 ", "1 234 5678")) for n in range(10)]
+    plain = [(f"+20 {n:08d}", f"(20{n // 10**7}) {n // 10**4 % 1000:03d}-{n % 10**4:04d}") for n in range(20255500, 20255600)]
+    d = spark.createDataFrame([("phone", x) for x in [*phones, *(x for both in plain for x in both)]], "kind string, entity string")
+    mapped = d.withColumn("surrogate", pii.surrogate(F.col("entity"), F.col("kind")))
+    digits = lambda x: re.sub(r"\D", "", x)
+    s = {r["entity"]: r["surrogate"] for r in mapped.collect()}
+    assert len({("+" in x, digits(x)) for x in s.values()}) == len(s) and not any(e == x for e, x in s.items())
+    assert pii.collisions(mapped).collect() == [] and s["+1 (017) 555-7713"].startswith("+1 (0")
+    clash = spark.createDataFrame([("phone", "+20 25550123", "+20 31234567"), ("phone", "(415) 555-0199", "(203) 123-4567")], "kind string, entity string, surrogate string")
+    assert pii.collisions(clash).collect() == []
+    assert pii.replaced(docs(spark, [(1, "+1 (017) 555-7713", None), (2, "+1 (917) 555-7713", None)])).count() == 2
+
+
+def test_no_entity_is_its_own_surrogate(spark):
+    """Honorifics in a row, names of letters without a class, addresses in upper case."""
+    texts = ["Frau Dr. Schmidt", "Herr Prof. Dr. Weber", "Frau Dr", "Sir, Madam and Mr Sir", "Mr \u0531\u0580\u0561\u0574", "Mr \u0531\u0580\u0561\u0576", "2001:DB8::A1", "2001:db8::a1", "2001:db8::a2"]
+    d = docs(spark, [(i, t, None) for i, t in enumerate(texts)])
+    got = [r["text"] for r in pii.replaced(d).orderBy("doc_id").collect()]
+    assert got[0].startswith("Frau Dr. ") and got[0] != texts[0] and got[1].startswith("Herr Prof. Dr. ") and got[1] != texts[1]
+    assert got[2:4] == texts[2:4] and got[4] != texts[4] and got[4] != got[5] and len({*got}) == len(got)
+    assert got[6] == got[6].upper() and got[6].lower() == got[7] != got[8]
