@@ -127,13 +127,18 @@ def mix(inputs: Sequence[tuple[str, DataFrame]], key: str, weights: Sequence[flo
     return out
 
 
+def with_replacement(df: DataFrame, key: str, seed: int, op: str, n: int, rows: int) -> DataFrame:
+    """n draws of any of the rows: draw i takes the row at a hashed place by key, nulls last. An empty table gives none."""
+    placed = with_positions(df, F.asc_nulls_last(key)).withColumnRenamed("_pos", "_place")
+    wanted = df.sparkSession.range(n).select(F.col("id").alias("draw"), F.pmod(F.conv(F.substring(draw(seed, op, F.col("id")), 1, 8), 16, 10).cast("long"), F.lit(max(1, rows))).alias("_want"))
+    return wanted.join(placed, F.col("_want") == F.col("_place")).drop("_want", "_place")
+
+
 def oversample(df: DataFrame, key: str, seed: int, op: str, n: int, rows: int) -> DataFrame:
-    """n rows: without replacement where there are enough, else with, where draw i takes the row at a hashed place (L-08)."""
+    """n rows: without replacement where there are enough, else with (L-08); ``draw`` is null without."""
     if n <= rows:
         return sample(df, key, seed, op, n).withColumn("draw", F.lit(None).cast("long"))
-    placed = with_positions(df, key).withColumnRenamed("_pos", "_place")
-    wanted = df.sparkSession.range(n).select(F.col("id").alias("draw"), F.pmod(F.conv(F.substring(draw(seed, op, F.col("id")), 1, 8), 16, 10).cast("long"), F.lit(rows)).alias("_want"))
-    return wanted.join(placed, F.col("_want") == F.col("_place")).drop("_want", "_place")
+    return with_replacement(df, key, seed, op, n, rows)
 
 
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:

@@ -1,11 +1,14 @@
+import collections
 import re
 
+import duckdb
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from quillon.operators import frames as B
 from quillon.operators import sampling as L
+from quillon.plans import ORACLES, PLANS
 
 
 @pytest.fixture(scope="module")
@@ -66,3 +69,15 @@ def test_batches_of_an_epoch(spark):
         assert len({r[B.POS] for r in own}) == 100
         assert sorted((r["batch"], r["place"]) for r in own) == [(b, p) for b in range(10) for p in range(10)]
     assert [r[B.POS] for r in rows if r["epoch"] == 0] != [r[B.POS] for r in rows if r["epoch"] == 1]
+
+
+@pytest.mark.parametrize("rows", [0, 7, 2999, 3000, 6000])
+def test_draws_with_replacement_are_those_of_the_sql(spark, tmp_path, rows):
+    """As many suppliers as draws or more, too; some keys repeated or null."""
+    key = F.when(F.col("id") % 50 == 3, F.lit(None)).otherwise(F.col("id") % 5000 + 1)
+    spark.range(rows).select(key.alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = PLANS["mix_ratio_oversample"](spark, str(tmp_path))
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW supplier AS SELECT * FROM read_parquet('{tmp_path}/supplier.parquet/*.parquet')")
+        want = c.execute(ORACLES["mix_ratio_oversample"]).fetchall()
+    assert collections.Counter(map(tuple, got.collect())) == collections.Counter(want) and len(want) == (3000 if rows else 0)
